@@ -81,7 +81,7 @@ def map_code(c: Column, labels: dict[str, str], default: Column) -> Column:
 
 def parse_header(c: Column) -> dict[str, Column]:
     """Tour, tournament, surface and level out of "Name (CTY), surface ⏎ CATEGORY - SINGLES"."""
-    parts = F.filter(F.transform(F.split(c, r"[|\n]+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, r"[|\n]+"), lambda p: F.trim(p)), lambda p: p != "")
     left, category = F.get(parts, F.lit(0)), F.upper(F.get(parts, F.lit(1)))
     tour = F.coalesce(*[F.when(category.contains(text), F.lit(t)) for text, t in HEADER_TOURS])
     tail = F.initcap(F.trim(F.element_at(F.split(left, ","), -1)))

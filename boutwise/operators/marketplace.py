@@ -193,3 +193,19 @@ def closest_miss(scored: DataFrame, tie_break: str, least: float = MIN_EDGE) ->
     """The row with the largest edge when no row reaches the threshold, else no row."""
     top = scored.agg(F.max("selected_edge")).scalar()
     return scored.filter(top < least).orderBy(F.col("selected_edge").desc(), tie_break).limit(1)
+
+
+def validate_odds(df: DataFrame, prices: list[str], id_prefix: str, row_id: str, tours: tuple[str, ...] = ("atp", "wta")) -> DataFrame:
+    """Uploaded odds with clean types, generated match ids and why a row is refused (NULL if it is not)."""
+    out = df.withColumns({
+        "tour": F.lower(F.trim("tour")), **{c: F.trim(c).try_cast("double") for c in prices},
+        "match_date": F.trim("match_date").try_cast("date"),
+        "match_id": F.concat(F.lit(f"{id_prefix}-"), F.col(row_id).cast("string")),
+    })
+    bad_price = F.lit(False)
+    for c in prices:
+        bad_price = bad_price | F.coalesce(F.col(c) <= 1.0, F.lit(True))
+    return out.withColumn(
+        "reject_reason",
+        F.when(~F.coalesce(F.col("tour").isin(*tours), F.lit(False)), "tour").when(bad_price, "odds")
+        .when(F.col("match_date").isNull(), "match_date"))
