@@ -137,7 +137,7 @@ def ledger_documents(spark, folder):
 
 @query("a15_explode_ledger", """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos,
  't' || lpad(CAST(turn AS VARCHAR), 4, '0') || '|' || role || '|' || md5(text) || '|' || CAST(CAST(100 + length(text) % 50 AS DOUBLE) AS VARCHAR) AS event_id,
- CAST(length(text) % 50 AS DOUBLE) AS pnl, count(*) OVER (PARTITION BY conv_id) * 1.5 AS capital, CAST(count(*) OVER (PARTITION BY conv_id) AS INT) AS history_count
+ CAST(length(text) % 50 AS DOUBLE) AS pnl, CAST(count(*) OVER (PARTITION BY conv_id) * 1.5 AS DOUBLE) AS capital, CAST(count(*) OVER (PARTITION BY conv_id) AS INT) AS history_count
 FROM conversations""")
 def explode_ledger(spark, folder):
     docs = ledger_documents(spark, folder)
@@ -150,11 +150,11 @@ def explode_ledger(spark, folder):
 PAGE_TEXT = (
     "'# Draw' || chr(10) || CASE tourney_id % 4 WHEN 0 THEN 'Semifinals' WHEN 1 THEN '1. round' WHEN 2 THEN 'Round of 16' ELSE 'nothing' END || chr(10) "
     "|| '| Start | Round | S |' || chr(10) "
-    "|| '| 1 | ' || CASE WHEN match_num = 1 THEN 'QF' ELSE 'x' END || ' | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) (' || CAST(match_num AS VARCHAR(9)) || ') | 2 | 6 | 3 | 6 |' || chr(10) "
-    "|| '| 2 | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | ' || CASE WHEN tourney_id % 3 = 0 THEN '2' ELSE '1' END || ' | ' || CAST(tourney_id % 5 AS VARCHAR(9)) || ' | 6 | 4 |' || chr(10) || chr(10) "
+    "|| '| 01.03. | ' || CASE WHEN match_num = 1 THEN 'QF' ELSE 'x' END || ' | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) (' || CAST(match_num AS VARCHAR(9)) || ') | 2 | 6 | 3 | 6 |' || chr(10) "
+    "|| '| 02.03. | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | ' || CASE WHEN tourney_id % 3 = 0 THEN '2' ELSE '1' END || ' | ' || CAST(tourney_id % 5 AS VARCHAR(9)) || ' | 6 | 4 |' || chr(10) || chr(10) "
     "|| CASE WHEN match_num = 2 THEN 'Final' ELSE 'text' END || chr(10) "
-    "|| '| 3 | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | 0 | 6' || CAST(tourney_id % 6 AS VARCHAR(9)) || ' | 2 |' || chr(10) "
-    "|| '| 4 | | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) (12) | 2 | 7 | 6 |' || chr(10) || '| 5 | | [Alone](/p) | 1 | 6 |'")
+    "|| '| 03.03. | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | 0 | 6' || CAST(tourney_id % 6 AS VARCHAR(9)) || ' | 2 |' || chr(10) "
+    "|| '| 04.03. | | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) (12) | 2 | 7 | 6 |' || chr(10) || '| 05.03. | | [Alone](/p) | 1 | 6 |'")
 
 
 @query("a16_extract_page_rows", twin(["bouts"], """, d AS (SELECT match_key, CAST(16 + tourney_id % 90 AS INT) AS dr, tourney_id, match_num, winner_id, loser_id FROM bouts),
