@@ -88,7 +88,7 @@ j AS (SELECT match_key, CASE WHEN gi.any_rows IS NOT NULL THEN gi.o1 WHEN 'n' ||
   CASE WHEN CASE WHEN gi.any_rows IS NOT NULL THEN gi.pairs ELSE gn.pairs END > 1 THEN 'median' ELSE 'single_source' END AS aggregation_method
  FROM scored s LEFT JOIN gi ON gi.match_date = s.match_date AND gi.lo = p1_id AND gi.hi = p2_id
   LEFT JOIN gn ON gn.match_date = s.match_date AND gn.nlo = least('n' || p1_id, 'n' || p2_id) AND gn.nhi = greatest('n' || p1_id, 'n' || p2_id))
-SELECT match_key, {r6('odds_p1')} AS odds_p1, {r6('odds_p2')} AS odds_p2, bookmaker_count, aggregation_method FROM j WHERE odds_p1 IS NOT NULL AND bookmaker_count >= 2"""))
+SELECT match_key, {r6('odds_p1')} AS odds_p1, {r6('odds_p2')} AS odds_p2, CAST(bookmaker_count AS BIGINT) AS bookmaker_count, aggregation_method FROM j WHERE odds_p1 IS NOT NULL AND bookmaker_count >= 2"""))
 def join_pred_odds(spark, folder):
     n = F.lit("n")
     pred = views.scored(spark, folder).select(
@@ -122,8 +122,8 @@ def upcoming(spark, folder):
 @query("c07_h2h_asof", twin(["bouts"], UPCOMING + f""", j AS (SELECT up.match_key, count(b.match_key) AS t, count_if(b.winner_id = p1_id) AS w1, count_if(b.winner_id = p2_id) AS w2,
   count_if(b.winner_id = p1_id AND b.surface = up.surface) AS s1, count_if(b.winner_id = p2_id AND b.surface = up.surface) AS s2
  FROM up LEFT JOIN bouts b ON least(b.winner_id, b.loser_id) = p1_id AND greatest(b.winner_id, b.loser_id) = p2_id AND b.match_date < up.match_date GROUP BY 1)
-SELECT match_key, w1 AS h2h_p1_wins, w2 AS h2h_p2_wins, t AS h2h_total, {r6('CASE WHEN t > 0 THEN w1 / t ELSE 0.5 END')} AS h2h_p1_win_pct,
- s1 AS h2h_surface_p1_wins, s2 AS h2h_surface_p2_wins FROM j"""))
+SELECT match_key, CAST(w1 AS BIGINT) AS h2h_p1_wins, CAST(w2 AS BIGINT) AS h2h_p2_wins, t AS h2h_total, {r6('CASE WHEN t > 0 THEN w1 / t ELSE 0.5 END')} AS h2h_p1_win_pct,
+ CAST(s1 AS BIGINT) AS h2h_surface_p1_wins, CAST(s2 AS BIGINT) AS h2h_surface_p2_wins FROM j"""))
 def h2h_asof(spark, folder):
     rows = asof.h2h_before(upcoming(spark, folder), views.bouts(spark, folder).select("winner_id", "loser_id", "match_date", "surface"))
     return rows.select("match_key", "h2h_p1_wins", "h2h_p2_wins", "h2h_total", real("h2h_p1_win_pct").alias("h2h_p1_win_pct"),
