@@ -11,6 +11,7 @@ from boutwise.catalog.registry import query
 from boutwise.catalog.sorting import ALLOCATE_SQL
 from boutwise.catalog.sources import NEW, OLD, versions
 from boutwise.catalog.views import r6, real, twin
+from boutwise.catalog.windows import FLAT_SQL, _pairs, flat_curve
 from boutwise.functions import market
 from boutwise.operators import equity, evaluation, features, keyed, marketplace, ratings
 from boutwise.sources import merge
@@ -183,8 +184,6 @@ SELECT count(*) AS row_count, bool_and(t >= 0) AS days_non_negative, bool_and(t
 
 
 def audited(spark, folder):
-    from boutwise.catalog.windows import _pairs
-
     return features.head_to_head(_pairs(spark, folder), surface=False)
 
 
@@ -275,3 +274,13 @@ def rows_added(spark, folder):
 def status_counts(spark, folder):
     o = views.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("tour"), F.col("o_orderstatus").alias("status"))
     return o.groupBy("tour").agg(F.count("*").alias("row_count"), F.count_if(F.col("status") == "O").alias("open_rows"))
+
+
+@query("d18_strategy_summary", twin(["scored"], FLAT_SQL + f""", pk AS (SELECT strategy, equity, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY match_date), 500.0) AS peak FROM flat),
+dd AS (SELECT strategy, max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0.0 END) AS dd FROM pk GROUP BY 1),
+g AS (SELECT flat.strategy, CAST(sum(bets) AS BIGINT) AS bets, sum(wins) / sum(bets) AS wr, CAST(sum(bets) AS DOUBLE) AS staked, arg_max(equity, match_date) AS ec FROM flat GROUP BY 1)
+SELECT g.strategy, bets, {r6('wr')} AS win_rate, {r6('staked')} AS staked, {r6('ec')} AS end_capital, {r6('ec - 500.0')} AS profit, {r6('(ec - 500.0) / staked')} AS roi_on_staked,
+ {r6('(ec - 500.0) / 500.0')} AS roi_on_capital, {r6('dd')} AS max_drawdown FROM g JOIN dd ON dd.strategy = g.strategy"""))
+def strategy_summary(spark, folder):
+    out = equity.strategy_summary(flat_curve(spark, folder), ["strategy"], "match_date", F.col("staked"), 500.0)
+    return reals(out, *[c for c in out.columns if c not in ("strategy", "bets")])

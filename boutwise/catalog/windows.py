@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boutwise.catalog import views
+from boutwise.catalog.expressions import EDGE_SQL, K_SQL, edges
 from boutwise.catalog.registry import query
-from boutwise.catalog.views import twin
-from boutwise.functions import contest, market
-from boutwise.operators import equity, evaluation, features, keyed, marketplace, ratings, splits
+from boutwise.catalog.sorting import ALLOCATE_SQL
+from boutwise.catalog.views import r6, real, twin
+from boutwise.functions import contest
+from boutwise.operators import equity, features, keyed, marketplace, ratings, splits
 from boutwise.session import materialize
 from boutwise.operators.history import History, PrefixLast, PrefixMax, PrefixSum, Rolling, SinceDays
 
@@ -350,3 +352,137 @@ FROM x4 x1 JOIN x4 x2 ON x1.tour = x2.tour AND x1.match_key = x2.match_key AND x
 def feature_table(spark, folder):
     master, players, rated = rated_master(spark, folder)
     return feature_output(features.feature_table(master, players, rated))
+
+
+# -- equity, splits, ratings --------------------------------------------------------------------
+
+# The pseudo-random side comes from the key, so that every run and both engines agree.
+FLAT_SQL = """, fb AS (SELECT match_key, match_date, 'flat_favorite' AS strategy, CASE WHEN odds_p1 <= odds_p2 THEN 'P1' ELSE 'P2' END AS side, p1_wins, odds_p1, odds_p2 FROM scored
+  UNION ALL SELECT match_key, match_date, 'flat_random', CASE WHEN (tourney_id * 7 + match_num * 3) % 2 = 0 THEN 'P1' ELSE 'P2' END, p1_wins, odds_p1, odds_p2 FROM scored),
+fw AS (SELECT *, (side = 'P1') = (p1_wins = 1) AS won, CASE WHEN side = 'P1' THEN odds_p1 ELSE odds_p2 END AS o FROM fb),
+fd AS (SELECT strategy, match_date, count(*) AS bets, count_if(won) AS wins, sum(CASE WHEN won THEN o - 1.0 ELSE -1.0 END) AS pnl FROM fw GROUP BY 1, 2),
+fe AS (SELECT *, 500.0 + sum(pnl) OVER (PARTITION BY strategy ORDER BY match_date) AS raw_equity FROM fd),
+flat AS (SELECT *, CASE WHEN min(raw_equity) OVER (PARTITION BY strategy ORDER BY match_date) <= 0 THEN 0.0 ELSE raw_equity END AS equity FROM fe)"""
+
+
+def coin():
+    return (F.col("tourney_id") * 7 + F.col("match_num") * 3) % 2 == 0
+
+
+def flat_curve(spark, folder):
+    bets = equity.flat_bets(views.scored(spark, folder), "p1_wins", coin())
+    return equity.equity_flat(bets, ["strategy"], "match_date", 500.0)
+
+
+@query("e18_max_drawdown", twin(["scored"], FLAT_SQL + f""", pk AS (SELECT strategy, equity, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY match_date), 500.0) AS peak FROM flat)
+SELECT strategy, {r6('max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0.0 END)')} AS max_drawdown FROM pk GROUP BY 1"""))
+def max_drawdown(spark, folder):
+    return rounded(equity.max_drawdown(flat_curve(spark, folder), ["strategy"], "match_date", "equity", 500.0), "max_drawdown")
+
+
+@query("e19a_equity_flat", twin(["scored"], FLAT_SQL + f""" SELECT strategy, match_date, bets, CAST(wins AS BIGINT) AS wins, {r6('pnl')} AS pnl, {r6('equity')} AS equity FROM flat"""))
+def equity_flat(spark, folder):
+    return rounded(flat_curve(spark, folder), "pnl", "equity").select("strategy", "match_date", "bets", "wins", "pnl", "equity")
+
+
+# Stakes of at most 2 % of the bankroll a day keep the curve inside the range of a double.
+COMPOUND_SQL = ALLOCATE_SQL.replace("0.5 / total", "0.02 / total").replace("total > 0.5", "total > 0.02").replace(
+    "least(greatest(kelly_share, 0.0), 0.5)", "least(greatest(kelly_share, 0.0), 0.02)") + """
+, cd AS (SELECT match_date, count(*) AS bets, count_if((bet_side = 'P1') = (p1_wins = 1)) AS wins, sum(share) AS share,
+  sum(share * CASE WHEN (bet_side = 'P1') = (p1_wins = 1) THEN selected_odds - 1.0 ELSE -1.0 END) AS day_return FROM k3 GROUP BY 1),
+comp AS (SELECT *, 100.0 * exp(sum(ln(1 + day_return)) OVER (ORDER BY match_date)) AS equity FROM cd)"""
+
+
+@query("e19b_equity_compound", twin(["scored"], COMPOUND_SQL + f""" SELECT match_date, bets, CAST(wins AS BIGINT) AS wins, {r6('share')} AS share, {r6('day_return')} AS day_return, {r6('ln(equity)')} AS log_equity FROM comp"""))
+def equity_compound(spark, folder):
+    curve = equity.equity_compound(edges(spark, folder), [], "match_date", "p1_wins", ["match_key"], 100.0, cap=0.02)
+    return curve.select("match_date", "bets", "wins", real("share").alias("share"), real("day_return").alias("day_return"),
+                        real(F.log("equity")).alias("log_equity"))
+
+
+@query("e20_allocate_daily", twin(["scored"], ALLOCATE_SQL + f" SELECT match_date, match_key, pick, {r6('kelly_share')} AS kelly_share, {r6('share')} AS share, {r6('stake')} AS stake FROM alloc"))
+def allocate_daily(spark, folder):
+    picks = marketplace.recommend(edges(spark, folder), ["match_date"], ["match_key"], 100.0)
+    return rounded(picks, "kelly_share", "share", "stake").select(
+        "match_date", "match_key", F.col("pick").cast("bigint").alias("pick"), "kelly_share", "share", "stake")
+
+
+@query("e21_odds_movement", twin(["odds"], f""", p AS (SELECT *, lag(captured_at) OVER w AS pc, lag(odds_p1) OVER w AS p1, lag(odds_p2) OVER w AS p2 FROM odds WINDOW w AS (PARTITION BY match_id ORDER BY captured_at))
+SELECT snapshot_id, match_id, captured_at, pc AS prev_captured_at, {r6('(epoch_us(captured_at) - epoch_us(pc)) / 3.6e9')} AS hours_since_previous,
+ {r6('odds_p1 - p1')} AS odds_p1_delta, {r6('odds_p2 - p2')} AS odds_p2_delta, {r6('(odds_p1 - p1) / p1')} AS odds_p1_pct, {r6('(odds_p2 - p2) / p2')} AS odds_p2_pct,
+ CASE WHEN pc IS NULL THEN 'no_prior_snapshot' WHEN abs(odds_p1 - p1) < 1e-9 AND abs(odds_p2 - p2) < 1e-9 THEN 'flat' WHEN odds_p1 < p1 AND odds_p2 > p2 THEN 'steam_p1'
+  WHEN odds_p2 < p2 AND odds_p1 > p1 THEN 'steam_p2' ELSE 'mixed' END AS market_move FROM p"""))
+def odds_movement(spark, folder):
+    rows = marketplace.odds_movement(views.odds(spark, folder), ["match_id"], "captured_at")
+    names = ["hours_since_previous", "odds_p1_delta", "odds_p2_delta", "odds_p1_pct", "odds_p2_pct"]
+    return rounded(rows, *names).select("snapshot_id", "match_id", "captured_at", "prev_captured_at", *names, "market_move")
+
+
+@query("e22_split_temporal", twin(["scored"], "SELECT match_key, CASE WHEN match_date < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS split, 'strict_cutoff' AS split_mode FROM scored"))
+def split_temporal(spark, folder):
+    return splits.split_temporal(views.scored(spark, folder), ["match_date", *ORDER], "1999-01-01").select("match_key", "split", "split_mode")
+
+
+@query("e22_split_by_position", twin(["scored"], """SELECT match_key, CASE WHEN row_number() OVER (ORDER BY match_date, tourney_id, match_num) - 1 <
+ greatest(1, least(CAST(trunc(count(*) OVER () * 0.8) AS BIGINT), count(*) OVER () - 1)) THEN 'train' ELSE 'test' END AS split, 'fallback_80_20_temporal' AS split_mode FROM scored"""))
+def split_by_position(spark, folder):
+    return splits.split_temporal(views.scored(spark, folder), ["match_date", *ORDER], "2100-01-01", months=0).select("match_key", "split", "split_mode")
+
+
+@query("e23_temporal_folds", twin(["scored"], """, r AS (SELECT match_date, row_number() OVER (ORDER BY match_date, tourney_id, match_num) - 1 AS i, count(*) OVER () AS n FROM scored),
+p AS (SELECT *, greatest(75, n // 7) AS te FROM r), q AS (SELECT *, greatest(300, te * 4) AS tr FROM p), s AS (SELECT *, least(3, (n - tr) // te) AS k FROM q),
+f AS (SELECT s.*, j, greatest(0, n - (tr + k * te)) + (j - 1) * te AS a FROM s, range(1, 4) t(j) WHERE j <= k),
+g AS (SELECT match_date, j, CASE WHEN i >= a AND i < a + tr THEN 'train' WHEN i >= a + tr AND i < a + tr + te THEN 'test' END AS role FROM f)
+SELECT CAST(j AS INT) AS fold, role, count(*) AS n, min(match_date) AS date_min, max(match_date) AS date_max FROM g WHERE role IS NOT NULL GROUP BY 1, 2"""))
+def temporal_folds(spark, folder):
+    rows = splits.temporal_folds(views.scored(spark, folder), ["match_date", *ORDER], 3, 300, 75)
+    return splits.fold_summary(rows, "match_date")
+
+
+@query("e24_walk_forward_folds", twin(["scored"], """, d AS (SELECT match_date, count(*) AS c FROM scored GROUP BY 1)
+SELECT * FROM (SELECT match_date, c AS test_rows, CAST(sum(c) OVER w AS BIGINT) AS train_rows, min(match_date) OVER w AS train_date_min, max(match_date) OVER w AS train_date_max FROM d
+ WINDOW w AS (ORDER BY match_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE train_rows > 0"""))
+def walk_forward_folds(spark, folder):
+    return splits.walk_forward_folds(views.scored(spark, folder), "match_date")
+
+
+def rating_matches(spark, folder):
+    """Eligible master matches with their K and the year as rating period."""
+    from boutwise.plans.master import build_master
+
+    master = build_master(views.raw(spark, folder)).filter("is_training_eligible AND winner_id <> loser_id")
+    return master.select(
+        "match_key", F.year("match_date").alias("period"), "winner_id", "loser_id", "surface",
+        contest.k_factor(F.col("tourney_level"), F.col("round"), F.col("best_of")).alias("k"))
+
+
+def _period_sql(first: int, last: int) -> str:
+    parts = [f""", em AS MATERIALIZED (SELECT match_key, year(match_date) AS yr, CAST(winner_id AS VARCHAR) AS w, CAST(loser_id AS VARCHAR) AS l, surface, CAST({K_SQL} AS DOUBLE) AS k
+  FROM master WHERE is_training_eligible AND winner_id <> loser_id),
+r{first - 1} AS (SELECT '' AS id, '' AS surf, CAST(0 AS DOUBLE) AS elo WHERE false)"""]
+    for y in range(first, last + 1):
+        parts.append(f"""m{y} AS MATERIALIZED (SELECT *, k * (1.0 - 1.0 / (1.0 + pow(10.0, ((0.7 * lp + 0.3 * ls) - (0.7 * wp + 0.3 * ws)) / 400.0))) AS ch FROM (
+  SELECT em.*, coalesce(a.elo, 1500.0) AS wp, coalesce(b.elo, a.elo, 1500.0) AS ws, coalesce(c.elo, 1500.0) AS lp, coalesce(d.elo, c.elo, 1500.0) AS ls
+  FROM em LEFT JOIN r{y - 1} a ON a.id = w AND a.surf = 'ALL' LEFT JOIN r{y - 1} b ON b.id = w AND b.surf = surface
+    LEFT JOIN r{y - 1} c ON c.id = l AND c.surf = 'ALL' LEFT JOIN r{y - 1} d ON d.id = l AND d.surf = surface WHERE yr = {y})),
+u{y} AS MATERIALIZED (SELECT id, surf, max(pre) + sum(ch) AS elo FROM (SELECT w AS id, 'ALL' AS surf, wp AS pre, ch FROM m{y} UNION ALL SELECT w, surface, ws, ch FROM m{y}
+   UNION ALL SELECT l, 'ALL', lp, -ch FROM m{y} UNION ALL SELECT l, surface, ls, -ch FROM m{y}) GROUP BY 1, 2),
+r{y} AS MATERIALIZED (SELECT * FROM u{y} UNION ALL SELECT o.* FROM r{y - 1} o LEFT JOIN u{y} u ON u.id = o.id AND u.surf = o.surf WHERE u.id IS NULL)""")
+    return ",\n".join(parts)
+
+
+YEARS = (1993, 2003)
+
+
+@query("e26_elo_period", twin(["master"], _period_sql(*YEARS) + f" SELECT id AS player_id, surf AS surface, {r6('elo')} AS elo FROM r{YEARS[1]}"))
+def elo_period(spark, folder):
+    _, state = ratings.period_ratings(rating_matches(spark, folder))
+    return rounded(ratings.rating_snapshot(state), "elo")
+
+
+@query("e27_bankroll_ledger", twin(["scored"], f""", s AS (SELECT *, 40.0 + coalesce(sum(dq) OVER (PARTITION BY p1_id ORDER BY match_date, tourney_id, match_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, dq AS pnl FROM scored),
+t AS (SELECT *, b + pnl AS a, min(b) OVER (PARTITION BY p1_id ORDER BY match_date, tourney_id, match_num) AS mb, min(b + pnl) OVER (PARTITION BY p1_id ORDER BY match_date, tourney_id, match_num) AS ma FROM s)
+SELECT match_key, {r6('b - least(0.0, mb)')} AS capital_before, {r6('a - least(0.0, ma)')} AS capital_after FROM t"""))
+def bankroll_ledger(spark, folder):
+    rows = equity.bankroll_ledger(views.scored(spark, folder), ["p1_id"], "match_date", ORDER, "dq", 40.0)
+    return rounded(rows, "capital_before", "capital_after").select("match_key", "capital_before", "capital_after")
