@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
 from boutwise.catalog import (  # noqa: F401
-    aggregates, expressions, joins, jobs, learning, sorting, sources, windows,
+    aggregates, expressions, jobs, joins, learning, sorting, sources, streams, windows,
 )
 from boutwise.catalog.registry import ORACLES, QUERIES  # noqa: F401
