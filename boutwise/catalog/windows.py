@@ -446,14 +446,23 @@ def walk_forward_folds(spark, folder):
     return splits.walk_forward_folds(views.scored(spark, folder), "match_date")
 
 
-def rating_matches(spark, folder):
+@query("e25_elo_exact")
+def elo_exact(spark, folder):
+    """Match-by-match ratings, solved a year at a time; ties on a day follow the match order."""
+    events, _ = ratings.sequential_ratings(rating_matches(spark, folder, "match_date", *ORDER))
+    return rounded(events, "elo_pre", "surface_elo_pre", "change").select(
+        "match_key", "player_id", "result", "elo_pre", "surface_elo_pre", "change")
+
+
+def rating_matches(spark, folder, *order):
     """Eligible master matches with their K and the year as rating period."""
     from boutwise.plans.master import build_master
 
     master = build_master(views.raw(spark, folder)).filter("is_training_eligible AND winner_id <> loser_id")
     return master.select(
         "match_key", F.year("match_date").alias("period"), "winner_id", "loser_id", "surface",
-        contest.k_factor(F.col("tourney_level"), F.col("round"), F.col("best_of")).alias("k"))
+        contest.k_factor(F.col("tourney_level"), F.col("round"), F.col("best_of")).alias("k"),
+        *[F.col(c).alias(n) for c, n in zip(order, ("day", "a", "b"))])
 
 
 def _period_sql(first: int, last: int) -> str:

@@ -51,6 +51,14 @@ class PrefixLast:
     default: object = None
 
 
+@dataclass(frozen=True)
+class PrefixFirst:
+    """First non-null `value` up to and with the current row."""
+
+    name: str
+    value: Column
+
+
 @dataclass(frozen=True)
 class Rolling:
     """Mean (or sum) of the last `size` non-null values of earlier rows."""
@@ -119,7 +127,7 @@ class History:
     def add(self, *specs) -> "History":
         for kind, method in (
             (PrefixSum, self._sums), (PrefixMax, self._maxima), (PrefixLast, self._lasts),
-            (Rolling, self._rolling), (SinceDays, self._since),
+            (PrefixFirst, self._firsts), (Rolling, self._rolling), (SinceDays, self._since),
         ):
             chosen = [s for s in specs if isinstance(s, kind)]
             if chosen:
@@ -161,6 +169,18 @@ class History:
             for s in specs
         })
 
+    def _firsts(self, specs: list[PrefixFirst]) -> None:
+        rank = F.struct(self.day, *self.order)
+        self._carry(
+            {s.name: F.min_by(s.value, F.when(s.value.isNotNull(), rank)) for s in specs},
+            lambda c: F.first(c, ignorenulls=True),
+        )
+        so_far = self.window.rowsBetween(*UP_TO_NOW)
+        self._set({
+            s.name: F.coalesce(self._carried(s.name, F.lit(None)), F.first(s.value, ignorenulls=True).over(so_far))
+            for s in specs
+        })
+
     def _rolling(self, specs: list[Rolling]) -> None:
         dense = [s for s in specs if not s.nullable]
         sparse = [s for s in specs if s.nullable]
