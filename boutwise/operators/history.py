@@ -151,7 +151,8 @@ class History:
         before = self.window.rowsBetween(*BEFORE)
         self._carry({s.name: F.max(s.value) for s in specs}, F.max)
         self._set({
-            s.name: F.coalesce(F.max(s.value).over(before), self._carried(s.name, F.lit(None)), F.lit(s.default))
+            s.name: F.coalesce(
+                F.greatest(F.max(s.value).over(before), self._carried(s.name, F.lit(None))), F.lit(s.default))
             for s in specs
         })
 
