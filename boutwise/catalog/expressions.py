@@ -188,7 +188,7 @@ fair AS (SELECT q.*, q.q1 + q.q2 AS overround, bi.hi AS k,
 def _prices(spark, folder):
     px = views.odds(spark, folder).withColumn(
         "odds_p2", F.when(F.col("snapshot_id") % 7 == 0, F.col("odds_p1")).otherwise(F.col("odds_p2")))
-    return px.withColumns(market.remove_overround(F.col("odds_p1"), F.col("odds_p2")))
+    return marketplace.with_fair_prices(px)
 
 
 @query("b16_remove_overround", twin(["odds"], PRICES + f"""

@@ -119,8 +119,8 @@ def upcoming(spark, folder):
         "match_key", F.least("winner_id", "loser_id").alias("p1_id"), F.greatest("winner_id", "loser_id").alias("p2_id"), "match_date", "surface")
 
 
-@query("c07_h2h_asof", twin(["bouts"], UPCOMING + f""", j AS (SELECT up.match_key, count(b.match_key) AS t, count_if(b.winner_id = p1_id) AS w1, count_if(b.winner_id = p2_id) AS w2,
-  count_if(b.winner_id = p1_id AND b.surface = up.surface) AS s1, count_if(b.winner_id = p2_id AND b.surface = up.surface) AS s2
+@query("c07_h2h_asof", twin(["bouts"], UPCOMING + f""", j AS (SELECT up.match_key, count(b.match_key) AS t, count(CASE WHEN b.winner_id = p1_id THEN 1 END) AS w1, count(CASE WHEN b.winner_id = p2_id THEN 1 END) AS w2,
+  count(CASE WHEN b.winner_id = p1_id AND b.surface = up.surface THEN 1 END) AS s1, count(CASE WHEN b.winner_id = p2_id AND b.surface = up.surface THEN 1 END) AS s2
  FROM up LEFT JOIN bouts b ON least(b.winner_id, b.loser_id) = p1_id AND greatest(b.winner_id, b.loser_id) = p2_id AND b.match_date < up.match_date GROUP BY 1)
 SELECT match_key, CAST(w1 AS BIGINT) AS h2h_p1_wins, CAST(w2 AS BIGINT) AS h2h_p2_wins, t AS h2h_total, {r6('CASE WHEN t > 0 THEN w1 / t ELSE 0.5 END')} AS h2h_p1_win_pct,
  CAST(s1 AS BIGINT) AS h2h_surface_p1_wins, CAST(s2 AS BIGINT) AS h2h_surface_p2_wins FROM j"""))

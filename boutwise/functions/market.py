@@ -25,17 +25,11 @@ def cents(c: Column) -> Column:
     return F.rint(c * 100.0) / 100.0
 
 
-def remove_overround(odds_1: Column, odds_2: Column, doublings: int = 8, halvings: int = 32) -> dict[str, Column]:
-    """Fair probabilities from two decimal odds.
-
-    Above an overround of 1 the power method looks for k with q1^k + q2^k = 1: doubling finds an
-    upper limit, halving narrows it. Otherwise the implied probabilities are scaled to sum to 1.
-    """
+def power_exponent(odds_1: Column, odds_2: Column, doublings: int = 8, halvings: int = 32) -> Column:
+    """The k with q1^k + q2^k = 1: doubling finds an upper limit, halving narrows it."""
     q1, q2 = 1.0 / odds_1, 1.0 / odds_2
-    overround = q1 + q2
-    steps = F.sequence(F.lit(1), F.lit(doublings))
     upper = F.aggregate(
-        steps, F.lit(2.0),
+        F.sequence(F.lit(1), F.lit(doublings)), F.lit(2.0),
         lambda hi, _: F.when(F.pow(q1, hi) + F.pow(q2, hi) > 1.0, hi * 2.0).otherwise(hi))
 
     def halve(span: Column, _: Column) -> Column:
@@ -45,8 +39,19 @@ def remove_overround(odds_1: Column, odds_2: Column, doublings: int = 8, halving
             F.when(over, mid).otherwise(span["lo"]).alias("lo"),
             F.when(over, span["hi"]).otherwise(mid).alias("hi"))
 
-    k = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), F.lit(halvings)), F.struct(F.lit(1.0).alias("lo"), upper.alias("hi")), halve)["hi"]
+
+
+def remove_overround(odds_1: Column, odds_2: Column, exponent: Column | None = None) -> dict[str, Column]:
+    """Fair probabilities from two decimal odds.
+
+    Above an overround of 1 the power method applies. Otherwise the implied probabilities are scaled
+    to sum to 1. A stored exponent saves solving for it once per use.
+    """
+    k = power_exponent(odds_1, odds_2) if exponent is None else exponent
+    q1, q2 = 1.0 / odds_1, 1.0 / odds_2
+    overround = q1 + q2
     valid = (odds_1 > 1.0) & (odds_2 > 1.0) & (overround > 1.0)
     p1, p2 = F.pow(q1, k), F.pow(q2, k)
     return {

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutwise.functions.market import (
-    MAX_DAILY_BETS, MAX_DAILY_SHARE, MIN_EDGE, MIN_STAKE, cents, kelly, movement_class, remove_overround, score_edges,
+    MAX_DAILY_BETS, MAX_DAILY_SHARE, MIN_EDGE, MIN_STAKE, cents, kelly, movement_class, power_exponent,
+    remove_overround, score_edges,
 )
 from boutwise.operators.history import History, PrefixLast
 
@@ -136,10 +137,19 @@ def odds_movement(odds: DataFrame, keys: list[str], time: str, history_odds: Dat
     })
 
 
+def with_fair_prices(df: DataFrame, odds_1: str = "odds_p1", odds_2: str = "odds_p2") -> DataFrame:
+    """Margin-free probabilities of both sides.
+
+    The exponent is a generated column, so that it is solved once per row and not again in every
+    filter and column that uses it.
+    """
+    o1, o2 = F.col(odds_1), F.col(odds_2)
+    solved = df.withColumn("_k", F.explode(F.array(power_exponent(o1, o2))))
+    return solved.withColumns(remove_overround(o1, o2, F.col("_k"))).drop("_k")
+
+
 def with_edges(df: DataFrame, prob: str = "prob", odds_1: str = "odds_p1", odds_2: str = "odds_p2") -> DataFrame:
-    fair = remove_overround(F.col(odds_1), F.col(odds_2))
-    df = df.withColumns(fair)
-    return df.withColumns(score_edges(
+    return with_fair_prices(df, odds_1, odds_2).withColumns(score_edges(
         F.col(prob), F.col("fair_p1"), F.col("fair_p2"), F.col(odds_1), F.col(odds_2)))
 
 
