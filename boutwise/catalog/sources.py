@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from boutwise.catalog import views
 from boutwise.catalog.registry import query
 from boutwise.catalog.views import r6, real, twin
 from boutwise.operators import keyed
+from boutwise.session import shared_folder
 from boutwise.sources import ledger, merge, pages, tables
 
 EXPECTED = {"o_orderkey": "bigint", "o_custkey": "bigint", "winner_entry": "string", "o_totalprice": "double", "source": "string"}
@@ -41,6 +44,28 @@ def scan_json_map(spark, folder):
         "event_id", "key", F.upper(F.lpad("value", 3, "x")).alias("value"))
 
 
+@query("a06_write_snapshot", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0")
+def write_snapshot(spark, folder):
+    """A table written whole twice; the second writing replaces the first."""
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    o = views.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    tables.write_snapshot(o, path, ["o_orderpriority"])
+    tables.write_snapshot(o.filter("o_orderkey % 2 = 0"), path, ["o_orderpriority"])
+    return spark.read.schema(o.schema).parquet(path).select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("a07_append_history", """SELECT snapshot_day, count(*) AS n, CAST(count(tour) AS BIGINT) AS with_tour FROM (SELECT CAST(ts AS DATE) AS snapshot_day, event_type AS tour FROM events
+UNION ALL SELECT CAST(ts AS DATE), NULL FROM events) GROUP BY 1""")
+def append_history(spark, folder):
+    """Two snapshots in one archive; the second lacks a column."""
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    expected = {"event_id": "bigint", "snapshot_day": "date", "tour": "string", "source_url": "string"}
+    e = views.table(spark, folder, "events").withColumn("snapshot_day", F.col("ts").cast("date"))
+    tables.append_history(e.withColumnRenamed("event_type", "tour"), path, expected)
+    tables.append_history(e, path, expected)
+    return spark.read.parquet(path).groupBy("snapshot_day").agg(F.count("*").alias("n"), F.count("tour").alias("with_tour"))
+
+
 # Two versions of the orders: the old one lacks late orders, the new one has changed prices and gaps.
 OLD = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 5 <> 4"
 NEW = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE lower(o_orderstatus) END AS o_orderstatus,

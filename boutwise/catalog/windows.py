@@ -233,9 +233,9 @@ def rated_master(spark, folder):
     code = F.concat(F.lit("N"), F.lpad(F.col("nation").cast("string"), 2, "0"))
     hosts = views.table(spark, folder, "customer").withColumn("nation", F.col("c_nationkey")).select(
         F.col("c_name").alias("key"), code.alias("value"))
-    master = keyed.eligible_or_all(build_master(views.raw(spark, folder)), "is_training_eligible")
-    # The master table is a stored stage: ratings and features read it several times.
-    master = materialize(keyed.lookup_two_level(master, "tourney_name", hosts, "host_country"))
+    # The master table is a stored stage: eligibility, ratings and features all read it.
+    master = keyed.eligible_or_all(materialize(build_master(views.raw(spark, folder))), "is_training_eligible")
+    master = keyed.lookup_two_level(master, "tourney_name", hosts, "host_country")
     players = s.withColumn("nation", F.col("s_nationkey")).select(
         F.col("s_suppkey").cast("string").alias("player_id"), F.when(F.col("s_suppkey") % 2 == 0, code).alias("ioc"))
     base = master.select("match_key", "tourney_id", F.explode(F.array("winner_id", "loser_id")).alias("s_suppkey"))

@@ -13,7 +13,7 @@ from boutwise.functions.text import WIDE_PUNCTUATION, as_double, normalize_name
 FLAG_TEXT = {"true": "1", "false": "0", "yes": "1", "no": "0"}
 
 # A side is sent to all executors only when a count shows it is no larger than this.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
