@@ -13,6 +13,11 @@ from boutwise.operators.history import History, PrefixLast
 
 # Names that stand for a page and not for a bookmaker.
 PLACEHOLDER_BOOKMAKERS = ["flashscore_market_median", "flashscore_event_page"]
+# What an uploaded row gets where it says nothing.
+UPLOAD_DEFAULTS = {
+    "match_time": "", "tournament": "Manual upload", "surface": "Unknown", "player_1_match_score": 100,
+    "player_2_match_score": 100, "source_url": "manual_upload",
+}
 
 
 def latest_capture(odds: DataFrame, keys: list[str], captured: str) -> DataFrame:
@@ -205,12 +210,24 @@ def closest_miss(scored: DataFrame, tie_break: str, least: float = MIN_EDGE) ->
     return scored.filter(top < least).orderBy(F.col("selected_edge").desc(), tie_break).limit(1)
 
 
-def validate_odds(df: DataFrame, prices: list[str], id_prefix: str, row_id: str, tours: tuple[str, ...] = ("atp", "wta")) -> DataFrame:
-    """Uploaded odds with clean types, generated match ids and why a row is refused (NULL if it is not)."""
+def validate_odds(
+    df: DataFrame, prices: list[str], id_prefix: str, row_id: str, now: str, tours: tuple[str, ...] = ("atp", "wta"),
+) -> DataFrame:
+    """Uploaded odds with clean types, defaults, match ids, and why a row is refused (NULL if it is not).
+
+    Names that were not resolved stand for themselves; a match id is made where there is none.
+    """
+
+    def given(name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
     out = df.withColumns({
         "tour": F.lower(F.trim("tour")), **{c: F.trim(c).try_cast("double") for c in prices},
         "match_date": F.trim("match_date").try_cast("date"),
-        "match_id": F.concat(F.lit(f"{id_prefix}-"), F.col(row_id).cast("string")),
+        "match_id": F.coalesce(given("match_id").cast("string"), F.concat(F.lit(f"{id_prefix}-"), F.col(row_id).cast("string"))),
+        **{name: F.coalesce(given(name), F.lit(value)) for name, value in UPLOAD_DEFAULTS.items()},
+        **{f"player_{i}_resolved": F.coalesce(given(f"player_{i}_resolved"), given(f"player_{i}")) for i in (1, 2)},
+        "captured_at": F.lit(now),
     })
     bad_price = F.lit(False)
     for c in prices:
