@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutwise.llm import decontaminate, language, lines, mixing, simhash, tokens
+from boutwise.llm import decontaminate, language, lines, mixing, simhash, substrings, tokens
 from boutwise.llm.common import table
 
 QUERIES: dict = {}
@@ -58,6 +58,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")

@@ -111,7 +111,7 @@ def _runs(names, text, lo, hi, number):
 def _pairs(names, text, lo, hi, number):
     if not len(names):
         return names, text, lo, hi
-    left = (mix(names + np.uint64(number + 1) * _M1) & np.uint64(1)).astype(bool)
+    left = (mix(names + np.uint64((number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(1)).astype(bool)
     pair = np.zeros(len(names), dtype=bool)
     pair[:-1] = left[:-1] & ~left[1:] & (text[1:] == text[:-1])
     taken = np.zeros(len(names), dtype=bool)
