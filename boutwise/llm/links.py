@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutwise.llm.common import stored
+from boutwise.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         # Done when every node has one smaller neighbour and no such neighbour has one itself.
         nested = after.select(F.col("v").alias("u")).distinct().join(after, "u", "left_semi").limit(1).count()
         split = 0 if nested else after.groupBy("u").count().filter("count > 1").limit(1).count()
+        discard(edges)
         edges = after
         if not nested and not split:
             break

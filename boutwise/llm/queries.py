@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutwise.llm import decontaminate, language, lines, mixing, simhash, substrings, tokens
+from boutwise.llm import decontaminate, flac, html, language, lines, mixing, simhash, substrings, tokens, toolcalls
 from boutwise.llm.common import table
 
 QUERIES: dict = {}
@@ -32,6 +32,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op4_flac")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(flac.store_media(table(spark, sf_dir, "documents")))
+
+
 @query("op5_language")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -75,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op10_tool_calls")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ", "))

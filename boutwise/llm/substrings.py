@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutwise.llm import recompress
-from boutwise.llm.common import encoded, slices, stored
+from boutwise.llm.common import discard, encoded, slices, stored
 
 WINDOW = 35
 SLICE = 2 << 20
@@ -162,13 +162,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     hits = each.join(often, "s").groupBy("row").agg(F.collect_list("s").alias("hits"))
     hits = named.select("row", F.col("doc_id").alias("d2"), F.col("text_hash").alias("t2")).join(hits, "row")
     hits = stored(hits.drop("row").dropDuplicates(["d2", "t2"]))
+    discard(named)
     ready = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_hash") == F.col("t2")), "left").select(
         "doc_id", "text", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"))
     found = stored(ready.mapInArrow(_open_rows(window), OPEN.format(kind=kind)).withColumn("row", F.monotonically_increasing_id()))
+    discard(hits)
     still = found.filter("text IS NOT NULL")
     windows = still.select("row", "text", "at").mapInArrow(_window_rows(window), "g long, h long, row long, at int")
     once = windows.groupBy("g", "h").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at")).filter("n = 1")
-    lone = once.groupBy("row").agg(F.collect_list("at").alias("lone"))
+    lone = stored(once.groupBy("row").agg(F.collect_list("at").alias("lone")))
     removed = still.join(lone, "row", "left").select("doc_id", "text", "at", "lone").mapInArrow(_removed_rows(window, texts), REMOVED.format(kind=kind))
     done = found.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
     return done.unionByName(removed)
