@@ -311,6 +311,8 @@ def decode(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.ndar
     number = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
     want, size = frame_numbers(number)
     header = 5 + size
+    if (stops - starts < header + 3).any() or (starts < 0).any():
+        raise ValueError("the seek table points outside its stream")
     good = (data[starts] == 0xFF) & (data[starts + 1] == 0xF8) & (data[starts + 2] == 0x20) & (data[starts + 3] == 0x02)
     for k in range(7):
         good &= (data[np.minimum(starts + 4 + k, len(data) - 1)] == want[:, k]) | (size <= k)

@@ -38,9 +38,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with how often it takes each."""
-    mix = mixing.mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"))
-    return docs.join(mix, "doc_id")
+    """The documents the mix takes, with how often it takes each; rows that share a doc_id share their copies, rounded up."""
+    mix = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.ceil(F.sum("copies") / F.count("*")).alias("copies")).filter("copies > 0")
+    return docs.drop("copies").join(mix, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
 
 
 STAGES = [
