@@ -342,21 +342,23 @@ def blend(spark, folder):
         out["confidence_tier"].alias("confidence_tier"))
 
 
-@query("b28_validate_odds", twin(["odds"], f""", m AS (SELECT snapshot_id, match_id, CASE WHEN snapshot_id % 9 = 0 THEN ' ATP ' WHEN snapshot_id % 9 = 1 THEN 'itf' ELSE 'wta' END AS tour,
+@query("b28_validate_odds", twin(["odds"], f""", m AS (SELECT snapshot_id, match_id, CASE WHEN snapshot_id % 9 = 0 THEN ' ATP ' WHEN snapshot_id % 9 = 1 THEN 'itf' WHEN snapshot_id % 9 <> 2 THEN 'wta' END AS tour,
+  CASE WHEN snapshot_id % 13 <> 5 THEN 'n' || match_id END AS name_1, CASE WHEN snapshot_id % 17 = 3 THEN ' ' ELSE 'm' || snapshot_id END AS name_2,
   CASE WHEN snapshot_id % 10 = 3 THEN 'n/a' WHEN snapshot_id % 10 = 4 THEN '0.9' ELSE CAST(floor(odds_p1 * 100) / 100 AS VARCHAR) END AS odds_1,
   CASE WHEN snapshot_id % 11 = 2 THEN 'soon' ELSE CAST(match_date AS VARCHAR) END AS day FROM odds)
-SELECT snapshot_id, lower(trim(tour)) AS tour, {r6('try_cast(odds_1 AS DOUBLE)')} AS odds_p1, try_cast(day AS DATE) AS match_date,
+SELECT snapshot_id, coalesce(lower(trim(tour)), 'wta') AS tour, {r6('try_cast(odds_1 AS DOUBLE)')} AS odds_p1, try_cast(day AS DATE) AS match_date,
  CASE WHEN lower(trim(tour)) NOT IN ('atp', 'wta') THEN 'tour' WHEN try_cast(odds_1 AS DOUBLE) IS NULL OR try_cast(odds_1 AS DOUBLE) <= 1 THEN 'odds'
-  WHEN try_cast(day AS DATE) IS NULL THEN 'match_date' END AS reject_reason, 'manual-20240101-' || snapshot_id AS match_id,
- CASE WHEN snapshot_id % 2 = 0 THEN 'Cup' ELSE 'Manual upload' END AS tournament, 'Unknown' AS surface, 'n' || match_id AS player_1_resolved FROM m"""))
+  WHEN try_cast(day AS DATE) IS NULL THEN 'match_date' WHEN name_1 IS NULL OR trim(name_2) = '' THEN 'players' END AS reject_reason, 'manual-20240101-' || snapshot_id AS match_id,
+ CASE WHEN snapshot_id % 2 = 0 THEN 'Cup' ELSE 'Manual upload' END AS tournament, 'Unknown' AS surface, name_1 AS player_1_resolved FROM m"""))
 def validate_odds(spark, folder):
     i = F.col("snapshot_id")
     rows = views.odds(spark, folder).select(
-        "snapshot_id", F.when(i % 9 == 0, " ATP ").when(i % 9 == 1, "itf").otherwise("wta").alias("tour"),
+        "snapshot_id", F.when(i % 9 == 0, " ATP ").when(i % 9 == 1, "itf").when(i % 9 != 2, "wta").alias("tour"),
         F.when(i % 10 == 3, "n/a").when(i % 10 == 4, "0.9").otherwise((F.floor(F.col("odds_p1") * 100) / 100).cast("string")).alias("odds_p1"),
         F.when(i % 11 == 2, "soon").otherwise(F.col("match_date").cast("string")).alias("match_date"),
-        F.when(i % 2 == 0, "Cup").alias("tournament"), F.concat(F.lit("n"), "match_id").alias("player_1"))
-    checked = marketplace.validate_odds(rows, ["odds_p1"], "manual-20240101", "snapshot_id", "2024-01-01T00:00:00Z")
+        F.when(i % 2 == 0, "Cup").alias("tournament"), F.when(i % 13 != 5, F.concat(F.lit("n"), "match_id")).alias("player_1"),
+        F.when(i % 17 == 3, " ").otherwise(F.concat(F.lit("m"), "snapshot_id")).alias("player_2"))
+    checked = marketplace.validate_odds(rows, ["odds_p1"], "manual-20240101", "snapshot_id", "2024-01-01T00:00:00Z", default_tour="wta")
     return checked.select("snapshot_id", "tour", real("odds_p1").alias("odds_p1"), "match_date", "reject_reason", "match_id",
                           "tournament", "surface", "player_1_resolved")
 

@@ -27,11 +27,13 @@ def new_only(spark, folder):
 @query("c03_rating_lookup", twin(["pm"], f"""SELECT match_key, player_id, {r6("CASE WHEN s_suppkey % 3 <> 0 THEN 1500 + s_acctbal / 100 ELSE 1500.0 END")} AS elo_overall,
  {r6("CASE WHEN s_suppkey % 3 <> 0 THEN 1500 + s_acctbal / 200 ELSE 1500.0 END")} AS elo_surface FROM pm JOIN supplier ON s_suppkey = player_id"""))
 def rating_lookup(spark, folder):
-    rows = views.pm(spark, folder)
+    """Both tours rate all players under the same match keys; only the own tour's ratings count."""
+    rows = views.pm(spark, folder).withColumn("tour", F.lit("atp"))
     s = views.table(spark, folder, "supplier").filter("s_suppkey % 3 <> 0").select(
         F.col("s_suppkey").alias("player_id"), (1500 + F.col("s_acctbal") / 100).alias("elo_pre"), (1500 + F.col("s_acctbal") / 200).alias("surface_elo_pre"))
-    known = rows.select("match_key", "player_id").join(s, "player_id")
-    return features.rating_lookup(rows, known, ["match_key", "player_id"]).select(
+    known = rows.select("tour", "match_key", "player_id").join(s, "player_id")
+    known = known.unionByName(known.withColumns({"tour": F.lit("wta"), "elo_pre": F.col("elo_pre") + 500.0}))
+    return features.rating_lookup(rows, known, ["tour", "match_key", "player_id"]).select(
         "match_key", "player_id", real("elo_overall").alias("elo_overall"), real("elo_surface").alias("elo_surface"))
 
 

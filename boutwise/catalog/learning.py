@@ -137,7 +137,7 @@ def param_grid(spark, folder):
 def walk_forward(spark, folder):
     """Fits per year, the periods the reference does per date."""
     return learning.walk_forward(
-        modelled(spark, folder), FEATURES, "p1_wins", ORDER, F.year("match_date"), "logreg", ["match_key", "p1_wins"], 1999)
+        modelled(spark, folder), FEATURES, "p1_wins", ORDER, F.year("match_date"), "logreg", ["match_key", "p1_wins"])
 
 
 @query("h12_train_report", twin(["scored"], f""", mm AS (SELECT 'a' AS model, p1_wins AS y, prob_a AS p FROM scored UNION ALL SELECT 'b', p1_wins, prob_b FROM scored),

@@ -179,7 +179,9 @@ PAGE_TEXT = (
     "|| '| 02.03. | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | ' || CASE WHEN tourney_id % 3 = 0 THEN '2' ELSE '1' END || ' | ' || CAST(tourney_id % 5 AS VARCHAR(9)) || ' | 6 | 4 |' || chr(10) || chr(10) "
     "|| CASE WHEN match_num = 2 THEN 'Final' ELSE 'text' END || chr(10) "
     "|| '| 03.03. | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | 0 | 6' || CAST(tourney_id % 6 AS VARCHAR(9)) || ' | 2 |' || chr(10) "
-    "|| '| 04.03. | | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) (12) | 2 | 7 | 6 |' || chr(10) || '| 05.03. | | [Alone](/p) | 1 | 6 |'")
+    "|| '| 04.03. | | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) (12) | 2 | 7 | 6 |' || chr(10) || '| 05.03. | | [Alone](/p) | 1 | 6 |' || chr(10) || 'and one of five sets' || chr(10) "
+    "|| '| 06.03. | | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) | 3 | 6 | 3 | 6 | 4 | 7 |' || chr(10) "
+    "|| '| 07.03. | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | 2 | 4 | 6 | 3 | 6 | 5 |'")
 
 
 @query("a16_extract_page_rows", twin(["bouts"], """, d AS (SELECT match_key, CAST(16 + tourney_id % 90 AS INT) AS dr, tourney_id, match_num, winner_id, loser_id FROM bouts),
@@ -190,8 +192,8 @@ hd AS (SELECT *, CASE tourney_id % 4 WHEN 0 THEN 'SF' WHEN 1 THEN CASE WHEN f >=
 SELECT match_key, 3 AS line_no, CASE WHEN match_num = 1 THEN 'QF' ELSE h1 END AS round, '6-' || (tourney_id % 5) || ' 3-6 6-4' AS score,
  'W' || winner_id AS winner_name, 'L' || loser_id AS loser_name, CAST(match_num AS VARCHAR) AS winner_seed, '' AS loser_seed FROM hd
 UNION ALL SELECT match_key, 7, CASE WHEN match_num = 2 THEN 'F' WHEN match_num = 1 THEN 'QF' ELSE h1 END,
- '7-6(' || (tourney_id % 6) || ') 6-2', 'W' || winner_id, 'L' || loser_id, '12', '' FROM hd""").replace(
-    "'7-6(' || (tourney_id % 6) || ') 6-2'", "'6-7(' || (tourney_id % 6) || ') 2-6'"))
+ '7-6(' || (tourney_id % 6) || ') 6-2', 'W' || winner_id, 'L' || loser_id, '12', '' FROM hd
+UNION ALL SELECT match_key, 11, CASE WHEN match_num = 2 THEN 'F' WHEN match_num = 1 THEN 'QF' ELSE h1 END, '6-4 3-6 6-3 4-6 7-5', 'W' || winner_id, 'L' || loser_id, '', '' FROM hd"""))
 def extract_page_rows(spark, folder):
     rows = views.bouts(spark, folder).select(
         "match_key", F.expr(PAGE_TEXT).alias("text"), F.expr("CAST(16 + tourney_id % 90 AS INT)").alias("draw"))

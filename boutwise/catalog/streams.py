@@ -14,23 +14,30 @@ from boutwise.session import shared_folder
 from boutwise.streaming import odds as streams
 
 
-def odds_stream(spark, folder):
-    """The events file as a stream of snapshots."""
-    schema = views.table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def odds_stream(spark, folder, name="events.parquet", files=4):
+    """The events file as a stream of snapshots, at most so many files at a time."""
+    schema = spark.read.parquet(f"{folder}/{name}" if name != "*.parquet" else folder).schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder)
     p1 = 1.05 + F.col("value") / 100.0
     return events.select(
         F.col("event_id").alias("snapshot_id"), F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("captured_at"),
         F.col("ts").cast("date").alias("match_date"), p1.alias("odds_p1"), (1.0 / (1.05 - 1.0 / p1)).alias("odds_p2"))
 
 
-@query("i01_stream_odds_upsert", twin(["odds"], """SELECT match_date, count(*) AS n, CAST(count(DISTINCT match_id) AS BIGINT) AS matches, count(*) AS current_rows FROM odds GROUP BY 1"""))
+@query("i01_stream_odds_upsert", twin(["odds"], """SELECT match_date, count(*) AS n, CAST(count(DISTINCT match_id) AS BIGINT) AS matches,
+ CAST(count_if(snapshot_id % 2 = 1 OR snapshot_id % 10 = 0) AS BIGINT) AS current_rows, round(sum(odds_p1 + CASE WHEN snapshot_id % 10 = 0 THEN 0.5 ELSE 0 END), 4) AS price_sum FROM odds GROUP BY 1"""))
 def stream_odds_upsert(spark, folder):
+    """Two batches: the even snapshots, then the odd ones with every tenth sent once more at another price."""
     base = f"{shared_folder(spark)}/odds-{uuid.uuid4().hex}"
-    streams.stream_odds_upsert(odds_stream(spark, folder), f"{base}/table", f"{base}/checkpoint", ["snapshot_id"]).trigger(
-        availableNow=True).start().awaitTermination()
+    events = views.table(spark, folder, "events")
+    again = events.filter("event_id % 10 = 0").withColumn("value", F.col("value") + 50.0)
+    for batch in (events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1").unionByName(again)):
+        batch.write.mode("append").parquet(f"{base}/source")
+        streams.stream_odds_upsert(odds_stream(spark, f"{base}/source", "*.parquet", 1_000_000), f"{base}/table", f"{base}/checkpoint", ["snapshot_id"]).trigger(
+            availableNow=True).start().awaitTermination()
     return streams.read_odds_table(spark, f"{base}/table").groupBy("match_date").agg(
-        F.count("*").alias("n"), F.count_distinct("match_id").alias("matches"), F.count_if("is_current").alias("current_rows"))
+        F.count("*").alias("n"), F.count_distinct("match_id").alias("matches"), F.count_if("is_current").alias("current_rows"),
+        F.round(F.sum("odds_p1"), 4).alias("price_sum"))
 
 
 @query("i02_stream_odds_movement", ORACLES["e21_odds_movement"])

@@ -238,9 +238,9 @@ def rated_master(spark, folder):
     master = keyed.lookup_two_level(master, "tourney_name", hosts, "host_country")
     players = s.withColumn("nation", F.col("s_nationkey")).select(
         F.col("s_suppkey").cast("string").alias("player_id"), F.when(F.col("s_suppkey") % 2 == 0, code).alias("ioc"))
-    base = master.select("match_key", "tourney_id", F.explode(F.array("winner_id", "loser_id")).alias("s_suppkey"))
+    base = master.select("tour", "match_key", "tourney_id", F.explode(F.array("winner_id", "loser_id")).alias("s_suppkey"))
     rated = base.filter(F.col("tourney_id") % 4 != 0).join(s, "s_suppkey").select(
-        "match_key", F.col("s_suppkey").cast("string").alias("player_id"),
+        "tour", "match_key", F.col("s_suppkey").cast("string").alias("player_id"),
         (1500 + F.col("s_acctbal") / 100).alias("elo_pre"), (1500 + F.col("s_acctbal") / 200).alias("surface_elo_pre"))
     return master, players, rated
 
@@ -385,19 +385,17 @@ def equity_flat(spark, folder):
     return rounded(flat_curve(spark, folder), "pnl", "equity").select("strategy", "match_date", "bets", "wins", "pnl", "equity")
 
 
-# Stakes of at most 2 % of the bankroll a day keep the curve inside the range of a double.
-COMPOUND_SQL = ALLOCATE_SQL.replace("0.5 / total", "0.02 / total").replace("total > 0.5", "total > 0.02").replace(
-    "least(greatest(kelly_share, 0.0), 0.5)", "least(greatest(kelly_share, 0.0), 0.02)") + """
+COMPOUND_SQL = ALLOCATE_SQL + """
 , cd AS (SELECT match_date, count(*) AS bets, count_if((bet_side = 'P1') = (p1_wins = 1)) AS wins, sum(share) AS share,
   sum(share * CASE WHEN (bet_side = 'P1') = (p1_wins = 1) THEN selected_odds - 1.0 ELSE -1.0 END) AS day_return FROM k3 GROUP BY 1),
-comp AS (SELECT *, 100.0 * exp(sum(ln(1 + day_return)) OVER (ORDER BY match_date)) AS equity FROM cd)"""
+comp AS (SELECT *, ln(100.0) + sum(ln(1 + day_return)) OVER (ORDER BY match_date) AS log_equity FROM cd)"""
 
 
-@query("e19b_equity_compound", twin(["scored"], COMPOUND_SQL + f""" SELECT match_date, bets, CAST(wins AS BIGINT) AS wins, {r6('share')} AS share, {r6('day_return')} AS day_return, {r6('ln(equity)')} AS log_equity FROM comp"""))
+@query("e19b_equity_compound", twin(["scored"], COMPOUND_SQL + f""" SELECT match_date, bets, CAST(wins AS BIGINT) AS wins, {r6('share')} AS share, {r6('day_return')} AS day_return, {r6('log_equity')} AS log_equity FROM comp"""))
 def equity_compound(spark, folder):
-    curve = equity.equity_compound(edges(spark, folder), [], "match_date", "p1_wins", ["match_key"], 100.0, cap=0.02)
+    curve = equity.equity_compound(edges(spark, folder), [], "match_date", "p1_wins", ["match_key"], 100.0)
     return curve.select("match_date", "bets", "wins", real("share").alias("share"), real("day_return").alias("day_return"),
-                        real(F.log("equity")).alias("log_equity"))
+                        real("log_equity").alias("log_equity"))
 
 
 @query("e20_allocate_daily", twin(["scored"], ALLOCATE_SQL + f" SELECT match_date, match_key, pick, {r6('kelly_share')} AS kelly_share, {r6('share')} AS share, {r6('stake')} AS stake FROM alloc"))
@@ -451,7 +449,7 @@ def elo_exact(spark, folder):
     """Match-by-match ratings, solved a year at a time; ties on a day follow the match order."""
     events, _ = ratings.sequential_ratings(rating_matches(spark, folder, "match_date", *ORDER))
     return rounded(events, "elo_pre", "surface_elo_pre", "change").select(
-        "match_key", "player_id", "result", "elo_pre", "surface_elo_pre", "change")
+        "tour", "match_key", "player_id", "result", "elo_pre", "surface_elo_pre", "change")
 
 
 def rating_matches(spark, folder, *order):
@@ -460,30 +458,30 @@ def rating_matches(spark, folder, *order):
 
     master = build_master(views.raw(spark, folder)).filter("is_training_eligible AND winner_id <> loser_id")
     return master.select(
-        "match_key", F.year("match_date").alias("period"), "winner_id", "loser_id", "surface",
+        "tour", "match_key", F.year("match_date").alias("period"), "winner_id", "loser_id", "surface",
         contest.k_factor(F.col("tourney_level"), F.col("round"), F.col("best_of")).alias("k"),
         *[F.col(c).alias(n) for c, n in zip(order, ("day", "a", "b"))])
 
 
 def _period_sql(first: int, last: int) -> str:
-    parts = [f""", em AS MATERIALIZED (SELECT match_key, year(match_date) AS yr, CAST(winner_id AS VARCHAR) AS w, CAST(loser_id AS VARCHAR) AS l, surface, CAST({K_SQL} AS DOUBLE) AS k
+    parts = [f""", em AS MATERIALIZED (SELECT tour, match_key, year(match_date) AS yr, CAST(winner_id AS VARCHAR) AS w, CAST(loser_id AS VARCHAR) AS l, surface, CAST({K_SQL} AS DOUBLE) AS k
   FROM master WHERE is_training_eligible AND winner_id <> loser_id),
-r{first - 1} AS (SELECT '' AS id, '' AS surf, CAST(0 AS DOUBLE) AS elo WHERE false)"""]
+r{first - 1} AS (SELECT '' AS tour, '' AS id, '' AS surf, CAST(0 AS DOUBLE) AS elo WHERE false)"""]
     for y in range(first, last + 1):
         parts.append(f"""m{y} AS MATERIALIZED (SELECT *, k * (1.0 - 1.0 / (1.0 + pow(10.0, ((0.7 * lp + 0.3 * ls) - (0.7 * wp + 0.3 * ws)) / 400.0))) AS ch FROM (
   SELECT em.*, coalesce(a.elo, 1500.0) AS wp, coalesce(b.elo, a.elo, 1500.0) AS ws, coalesce(c.elo, 1500.0) AS lp, coalesce(d.elo, c.elo, 1500.0) AS ls
-  FROM em LEFT JOIN r{y - 1} a ON a.id = w AND a.surf = 'ALL' LEFT JOIN r{y - 1} b ON b.id = w AND b.surf = surface
-    LEFT JOIN r{y - 1} c ON c.id = l AND c.surf = 'ALL' LEFT JOIN r{y - 1} d ON d.id = l AND d.surf = surface WHERE yr = {y})),
-u{y} AS MATERIALIZED (SELECT id, surf, max(pre) + sum(ch) AS elo FROM (SELECT w AS id, 'ALL' AS surf, wp AS pre, ch FROM m{y} UNION ALL SELECT w, surface, ws, ch FROM m{y}
-   UNION ALL SELECT l, 'ALL', lp, -ch FROM m{y} UNION ALL SELECT l, surface, ls, -ch FROM m{y}) GROUP BY 1, 2),
-r{y} AS MATERIALIZED (SELECT * FROM u{y} UNION ALL SELECT o.* FROM r{y - 1} o LEFT JOIN u{y} u ON u.id = o.id AND u.surf = o.surf WHERE u.id IS NULL)""")
+  FROM em LEFT JOIN r{y - 1} a ON a.tour = em.tour AND a.id = w AND a.surf = 'ALL' LEFT JOIN r{y - 1} b ON b.tour = em.tour AND b.id = w AND b.surf = surface
+    LEFT JOIN r{y - 1} c ON c.tour = em.tour AND c.id = l AND c.surf = 'ALL' LEFT JOIN r{y - 1} d ON d.tour = em.tour AND d.id = l AND d.surf = surface WHERE yr = {y})),
+u{y} AS MATERIALIZED (SELECT tour, id, surf, max(pre) + sum(ch) AS elo FROM (SELECT tour, w AS id, 'ALL' AS surf, wp AS pre, ch FROM m{y} UNION ALL SELECT tour, w, surface, ws, ch FROM m{y}
+   UNION ALL SELECT tour, l, 'ALL', lp, -ch FROM m{y} UNION ALL SELECT tour, l, surface, ls, -ch FROM m{y}) GROUP BY 1, 2, 3),
+r{y} AS MATERIALIZED (SELECT * FROM u{y} UNION ALL SELECT o.* FROM r{y - 1} o LEFT JOIN u{y} u ON u.tour = o.tour AND u.id = o.id AND u.surf = o.surf WHERE u.id IS NULL)""")
     return ",\n".join(parts)
 
 
 YEARS = (1993, 2003)
 
 
-@query("e26_elo_period", twin(["master"], _period_sql(*YEARS) + f" SELECT id AS player_id, surf AS surface, {r6('elo')} AS elo FROM r{YEARS[1]}"))
+@query("e26_elo_period", twin(["master"], _period_sql(*YEARS) + f" SELECT tour, id AS player_id, surf AS surface, {r6('elo')} AS elo FROM r{YEARS[1]}"))
 def elo_period(spark, folder):
     _, state = ratings.period_ratings(rating_matches(spark, folder))
     return rounded(ratings.rating_snapshot(state), "elo")

@@ -14,7 +14,6 @@ ROUND_CODES = {
     "final": "F", "finals": "F", "f": "F",
     "semifinal": "SF", "semi-final": "SF", "semi-finals": "SF", "sf": "SF",
     "quarterfinal": "QF", "quarter-final": "QF", "quarter-finals": "QF", "qf": "QF",
-    "4th round": "R16", "3rd round": "R32", "2nd round": "R64", "1st round": "R128",
     "round robin": "RR", "group": "RR", "rr": "RR",
 }
 # Names of the numbered rounds.
@@ -31,13 +30,14 @@ ROUND_POSITIONS = {
 
 
 def _set_scores(score: Column) -> Column:
-    """The "a-b" tokens of a score as (a, b) numbers; tie-break counts and other tokens go."""
+    """The "a-b" tokens of a score as (a, b) numbers; tie-break counts, other tokens and numbers beyond an int go."""
     bare = F.transform(F.split(F.trim(score), r"\s+"), lambda t: F.substring_index(t, "(", 1))
-    return F.transform(
+    read = F.transform(
         F.filter(bare, lambda t: t.rlike(r"^\d+-\d+$")),
         lambda t: F.struct(
-            F.substring_index(t, "-", 1).cast("int").alias("a"),
-            F.substring_index(t, "-", -1).cast("int").alias("b")))
+            F.substring_index(t, "-", 1).try_cast("int").alias("a"),
+            F.substring_index(t, "-", -1).try_cast("int").alias("b")))
+    return F.filter(read, lambda s: s["a"].isNotNull() & s["b"].isNotNull())
 
 
 def parse_score(score: Column) -> dict[str, Column]:
@@ -45,7 +45,7 @@ def parse_score(score: Column) -> dict[str, Column]:
     sets = _set_scores(score)
     won = F.size(F.filter(sets, lambda s: s["a"] > s["b"]))
     lost = F.size(F.filter(sets, lambda s: s["b"] > s["a"]))
-    games = F.aggregate(sets, F.lit(0), lambda acc, s: acc + s["a"] + s["b"])
+    games = F.aggregate(sets, F.lit(0).cast("long"), lambda acc, s: acc + s["a"] + s["b"]).try_cast("int")
     decided = score.isNotNull() & (won + lost > 0)
     pattern = "|".join(m.lower() for m in RETIREMENT_MARKERS)
     return {
@@ -73,12 +73,9 @@ def infer_winner(score: Column) -> dict[str, Column]:
 
 def numbered_round(number: Column, draw_size: Column) -> Column:
     """Code of the n-th round: the draw is filled up to a power of two and halves each round."""
-    full_draw = F.pow(F.lit(2.0), F.ceil(F.log2(draw_size.cast("double"))))
-    left = full_draw / F.pow(F.lit(2.0), number - 1)
-    return (
-        F.when(left >= 128, "R128").when(left >= 64, "R64").when(left >= 32, "R32")
-        .when(left >= 16, "R16").when(left >= 8, "QF").when(left >= 4, "SF").otherwise("F")
-    )
+    halvings = F.ceil(F.log2(draw_size.cast("double"))) - (number - 1)  # until one player is left
+    codes = F.array(*[F.lit(c) for c in ("F", "F", "SF", "QF", "R16", "R32", "R64", "R128")])
+    return F.coalesce(F.get(codes, F.greatest(F.lit(0), F.least(halvings, F.lit(7))).cast("int")), F.lit("F"))
 
 
 def normalize_round(text: Column, draw_size: Column) -> Column:

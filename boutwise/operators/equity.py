@@ -46,21 +46,34 @@ def equity_compound(
     scored: DataFrame, by: list[str], day: str, label: str, tie_break: list[str], start: float,
     least: float = MIN_EDGE, n: int = MAX_DAILY_BETS, cap: float = MAX_DAILY_SHARE,
 ) -> DataFrame:
-    """Daily value bets staked as shares of the bankroll; growth factors multiply up."""
+    """Daily value bets staked as shares of the bankroll; growth factors multiply up.
+
+    `log_equity` is exact for curves of any height; `equity` is 0 or infinite where a double ends. A lost day with the
+    whole bankroll at stake is ruin: equity 0 and log_equity NULL from that day on.
+    """
     bets = allocate_daily(scored.filter(F.col("selected_edge") >= least), [*by, day], tie_break, 1.0, n, cap)
     won = (F.col("bet_side") == "P1") == (F.col(label) == 1)
     gain = F.col("share") * F.when(won, F.col("selected_odds") - 1.0).otherwise(-1.0)
     daily = bets.groupBy(*by, day).agg(
         F.count("*").alias("bets"), F.count_if(won).alias("wins"), F.sum("share").alias("share"),
         F.sum(gain).alias("day_return"))
-    growth = F.exp(F.sum(F.log1p("day_return")).over(_upto(by, day)))
-    return daily.withColumn("equity", start * growth)
+    ruined = F.min("day_return").over(_upto(by, day)) <= -1.0
+    grown = F.sum(F.when(F.col("day_return") > -1.0, F.log1p("day_return"))).over(_upto(by, day))
+    daily = daily.withColumn("log_equity", F.when(~ruined, F.log(F.lit(start)) + F.coalesce(grown, F.lit(0.0))))
+    return daily.withColumn("equity", F.coalesce(F.exp("log_equity"), F.lit(0.0)))
 
 
-def max_drawdown(curve: DataFrame, by: list[str], day: str, equity: str, start: float) -> DataFrame:
-    """Largest fall from the highest equity so far, the starting capital included."""
+def max_drawdown(curve: DataFrame, by: list[str], day: str, equity: str, start: float, log_equity: str | None = None) -> DataFrame:
+    """Largest fall from the highest equity so far, the starting capital included.
+
+    Where `log_equity` names a column and it is not NULL, falls are taken from it, for curves no double holds.
+    """
     peak = F.greatest(F.max(equity).over(_upto(by, day)), F.lit(start))
-    falls = curve.withColumn("_dd", F.when(peak > 0, (peak - F.col(equity)) / peak).otherwise(0.0))
+    fall = F.when(peak > 0, (peak - F.col(equity)) / peak).otherwise(0.0)
+    if log_equity is not None:
+        top = F.greatest(F.max(log_equity).over(_upto(by, day)), F.log(F.lit(start)))
+        fall = F.when(F.col(log_equity).isNotNull(), 1.0 - F.exp(F.col(log_equity) - top)).otherwise(fall)
+    falls = curve.withColumn("_dd", fall)
     return falls.groupBy(*by).agg(F.max("_dd").alias("max_drawdown"))
 
 

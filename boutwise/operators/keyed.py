@@ -71,8 +71,8 @@ def new_only(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lookup_two_level(df: DataFrame, name: str, pairs: DataFrame, value: str) -> DataFrame:
-    """Value by exact name, else by normalised name."""
-    exact = small(pairs.select(F.col("key").alias("_k"), F.col("value").alias("_exact")))
+    """Value by exact name, else by normalised name; of several values of one name the largest."""
+    exact = small(pairs.groupBy(F.col("key").alias("_k")).agg(F.max("value").alias("_exact")))
     loose = small(
         pairs.groupBy(normalize_name(F.col("key"), WIDE_PUNCTUATION).alias("_nk")).agg(F.max("value").alias("_loose")))
     return (
@@ -102,8 +102,12 @@ def refresh_targets(targets: DataFrame, existing: DataFrame, key: str, day: str,
 
 
 def enrich_sides(df: DataFrame, dim: DataFrame, dim_key: str, attributes: list[str], sides: dict[str, str]) -> DataFrame:
-    """Attach dimension attributes to each side; `sides` maps a prefix to the side's id column."""
-    dim = small(dim)
+    """Attach dimension attributes to each side; `sides` maps a prefix to the side's id column.
+
+    Of several rows with one key the one with the largest attributes, in their order, counts.
+    """
+    whole = F.max(F.struct(*attributes)).alias("_a")
+    dim = small(dim.groupBy(dim_key).agg(whole).select(dim_key, "_a.*"))
     for prefix, key in sides.items():
         side = dim.select(F.col(dim_key).alias("_k"), *[F.col(a).alias(f"{prefix}_{a}") for a in attributes])
         df = df.join(side, F.col(key) == F.col("_k"), "left").drop("_k")
@@ -117,8 +121,11 @@ def unknown_ids(df: DataFrame, ids: list[str], dim: DataFrame, dim_key: str) ->
 
 
 def remap_ids(df: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
-    """Translate id columns through `mapping(old_id, new_id)`; rows with an unmapped id are dropped."""
-    mapping = small(mapping)
+    """Translate id columns through `mapping(old_id, new_id)`; rows with an unmapped id are dropped.
+
+    Of several new ids of one old id the largest counts.
+    """
+    mapping = small(mapping.groupBy("old_id").agg(F.max("new_id").alias("new_id")))
     for c in columns:
         m = mapping.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
         df = df.join(m, F.col(c) == F.col("_old")).withColumn(c, F.col("_new")).drop("_old", "_new")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,14 +102,28 @@ def join_predictions(
     )
 
 
+def movement_key(match_id: Column, day: Column, tour: Column, name_1: Column, name_2: Column) -> Column:
+    """The match a snapshot is of: its id, or date, tour and names where it has none."""
+    given = F.nullif(F.trim(match_id.cast("string")), F.lit(""))
+    parts = [day.cast("string"), F.lower(tour), F.lower(name_1), F.lower(name_2)]
+    return F.coalesce(given, F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
+
+
+def _keyed(keys: list[str]) -> Column:
+    """Rows that belong to some history: one without a key shares none."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
 def asof_previous(
     current: DataFrame, past: DataFrame, keys: list[str], time: str, values: list[str], day: Column | None = None,
     **history,
 ) -> DataFrame:
     """For each current row the latest row of `past` with the same key and a strictly earlier time.
 
-    Both tables go through one ordered pass; past rows of the same instant sort after current ones.
+    Both tables go through one ordered pass; past rows of the same instant sort after current ones. A row with a NULL in
+    its key has no predecessor and is none.
     """
+    alone, current, past = current.filter(~_keyed(keys)), current.filter(_keyed(keys)), past.filter(_keyed(keys))
     packed = F.struct(F.col(time).alias("time"), *values)
     mine = current.withColumns({"_mine": F.lit(True), "_past": F.lit(None), "_rank": F.lit(0)})
     theirs = past.select(*keys, time, packed.alias("_past")).withColumns({"_mine": F.lit(False), "_rank": F.lit(1)})
@@ -115,21 +131,26 @@ def asof_previous(
         theirs, allowMissingColumns=True)
     rows = rows.withColumn("_day", day if day is not None else F.col(time).cast("date"))
     done = History(rows, keys, "_day", [time, "_rank"], **history).add(PrefixLast("_prev", F.col("_past"))).result()
-    return done.filter("_mine").select(
+    found = done.filter("_mine").select(
         *current.columns, F.col("_prev.time").alias(f"prev_{time}"),
         *[F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values])
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def odds_movement(odds: DataFrame, keys: list[str], time: str, history_odds: DataFrame | None = None, **history) -> DataFrame:
-    """Change of each snapshot against the one before it, and the direction of the market."""
+    """Change of each snapshot against the one before it of the same key, and the direction of the market.
+
+    Snapshots without a match id need a key of other columns (`movement_key`); with a NULL key they have no predecessor.
+    """
     prev = f"prev_{time}"
     if history_odds is None:
-        rows = odds.withColumn("_day", F.col(time).cast("date"))
+        rows = odds.filter(_keyed(keys)).withColumn("_day", F.col(time).cast("date"))
         rows = History(rows, keys, "_day", [time], **history).add(
             PrefixLast("_prev", F.struct(F.col(time).alias("t"), "odds_p1", "odds_p2"))).result()
         rows = rows.select(
             *odds.columns, F.col("_prev.t").alias(prev),
             F.col("_prev.odds_p1").alias("prev_odds_p1"), F.col("_prev.odds_p2").alias("prev_odds_p2"))
+        rows = rows.unionByName(odds.filter(~_keyed(keys)), allowMissingColumns=True)
     else:
         rows = asof_previous(odds, history_odds, keys, time, ["odds_p1", "odds_p2"], **history)
     d1, d2 = F.col("odds_p1") - F.col("prev_odds_p1"), F.col("odds_p2") - F.col("prev_odds_p2")
@@ -212,17 +233,19 @@ def closest_miss(scored: DataFrame, tie_break: str, least: float = MIN_EDGE) ->
 
 def validate_odds(
     df: DataFrame, prices: list[str], id_prefix: str, row_id: str, now: str, tours: tuple[str, ...] = ("atp", "wta"),
+    default_tour: str | None = None,
 ) -> DataFrame:
     """Uploaded odds with clean types, defaults, match ids, and why a row is refused (NULL if it is not).
 
-    Names that were not resolved stand for themselves; a match id is made where there is none.
+    Names that were not resolved stand for themselves; a match id is made where there is none, and a missing tour is
+    `default_tour`. A row without both players' names is refused.
     """
 
     def given(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
     out = df.withColumns({
-        "tour": F.lower(F.trim("tour")), **{c: F.trim(c).try_cast("double") for c in prices},
+        "tour": F.coalesce(F.nullif(F.lower(F.trim("tour")), F.lit("")), F.lit(default_tour)), **{c: F.trim(c).try_cast("double") for c in prices},
         "match_date": F.trim("match_date").try_cast("date"),
         "match_id": F.coalesce(given("match_id").cast("string"), F.concat(F.lit(f"{id_prefix}-"), F.col(row_id).cast("string"))),
         **{name: F.coalesce(given(name), F.lit(value)) for name, value in UPLOAD_DEFAULTS.items()},
@@ -232,7 +255,10 @@ def validate_odds(
     bad_price = F.lit(False)
     for c in prices:
         bad_price = bad_price | F.coalesce(F.col(c) <= 1.0, F.lit(True))
+    nameless = F.lit(False)
+    for i in (1, 2):
+        nameless = nameless | F.coalesce(F.trim(given(f"player_{i}")) == "", F.lit(True))
     return out.withColumn(
         "reject_reason",
         F.when(~F.coalesce(F.col("tour").isin(*tours), F.lit(False)), "tour").when(bad_price, "odds")
-        .when(F.col("match_date").isNull(), "match_date"))
+        .when(F.col("match_date").isNull(), "match_date").when(nameless, "players"))

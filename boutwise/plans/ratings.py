@@ -11,10 +11,10 @@ from boutwise.operators.ratings import period_ratings, rating_snapshot
 
 
 def build_ratings(master: DataFrame, period: Column) -> tuple[DataFrame, DataFrame]:
-    """Rating events and the rating snapshot of one tour's eligible matches."""
+    """Rating events and the rating snapshot of the eligible matches, each tour on its own."""
     rows = eligible_or_all(master, "is_training_eligible").filter("winner_id <> loser_id")
     matches = rows.select(
-        "match_key", period.alias("period"), "winner_id", "loser_id", "surface",
+        "tour", "match_key", period.alias("period"), "winner_id", "loser_id", "surface",
         k_factor(F.col("tourney_level"), F.col("round"), F.col("best_of")).alias("k"))
     events, state = period_ratings(matches)
     return events, rating_snapshot(state)

@@ -18,13 +18,14 @@ def ledger_state(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.coalesce(F.size("d.history"), F.lit(0)).alias("history_count"))
 
 
-def ledger_events(docs: DataFrame, key: str, text: str, keep: int = 5000) -> DataFrame:
-    """One row per history entry, the newest `keep` of each ledger, with an id made of its fields."""
+def ledger_events(docs: DataFrame, key: str, text: str, keep: int | None = None) -> DataFrame:
+    """One row per history entry with an id made of its fields; with `keep` only the newest so many of each ledger."""
     rows = docs.select(key, F.posexplode(F.from_json(text, LEDGER_SCHEMA)["history"]).alias("pos", "e"))
-    newest = Window.partitionBy(key).orderBy(F.col("pos").desc())
+    if keep is not None:
+        newest = Window.partitionBy(key).orderBy(F.col("pos").desc())
+        rows = rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= keep).drop("_n")
     parts = ["timestamp", "prediction_id", "note", "capital_after"]
     return (
-        rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= keep)
-        .select(key, "pos", "e.*")
+        rows.select(key, "pos", "e.*")
         .withColumn("event_id", F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]))
     )

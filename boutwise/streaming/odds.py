@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.utils import AnalysisException
-
 from boutwise.functions.market import movement_class
 from boutwise.operators.keyed import latest_per_key
 from boutwise.session import materialize
@@ -20,10 +18,10 @@ KEYS = ["match_id", "captured_at"]
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The table at a path, or None where nothing is there; any other fault is raised."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.parquet(path) if exists else None
 
 
 def merge_batch(batch: DataFrame, table: str, order: list[str]) -> None:
@@ -53,10 +51,9 @@ def read_odds_table(spark: SparkSession, table: str) -> DataFrame:
     return mark_current(spark.read.parquet(f"{table}/rows"), spark.read.parquet(f"{table}/current"), KEYS)
 
 
-def stream_odds_upsert(snapshots: DataFrame, table: str, checkpoint: str, order: list[str], late: str = "2 days") -> DataStreamWriter:
-    """Drop repeats of a snapshot that arrive within `late`, then merge each micro-batch."""
-    unique = snapshots.withWatermark("captured_at", late).dropDuplicatesWithinWatermark(KEYS)
-    return unique.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+def stream_odds_upsert(snapshots: DataFrame, table: str, checkpoint: str, order: list[str]) -> DataStreamWriter:
+    """Merge each micro-batch. Merging is by key, so repeats cost nothing and no row is too late."""
+    return snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, _: merge_batch(batch, table, order))
 
 

@@ -99,11 +99,11 @@ def elo_loop(matches):
     return out
 
 
-def rating_rows(spark, matches):
+def rating_rows(spark, matches, tour="atp"):
     day = dt.date(2020, 1, 1)
     return spark.createDataFrame(
-        [(key, p, w, l, s, k, day + dt.timedelta(days=i // 5), 1, i) for i, (key, p, w, l, s, k) in enumerate(matches)],
-        "match_key string, period int, winner_id string, loser_id string, surface string, k double, day date, a int, b int")
+        [(tour, key, p, w, l, s, k, day + dt.timedelta(days=i // 5), 1, i) for i, (key, p, w, l, s, k) in enumerate(matches)],
+        "tour string, match_key string, period int, winner_id string, loser_id string, surface string, k double, day date, a int, b int")
 
 
 def by_event(events):
@@ -136,6 +136,20 @@ def test_period_ratings_meet_the_loop_only_without_repeats(spark):
     assert got[("m2", "a")][0] == 1500.0 and elo_loop(twice)[("m2", "a")][0] > 1500.0
 
 
+def test_tours_are_rated_apart(spark):
+    once = [("m1", 1, "a", "b", "Hard", 32.0), ("m2", 2, "a", "c", "Clay", 32.0)]
+    other = [("m1", 1, "c", "a", "Hard", 32.0), ("m2", 2, "b", "a", "Clay", 32.0)]
+    both = rating_rows(spark, once).unionByName(rating_rows(spark, other, "wta"))
+    for rated in (ratings.period_ratings(both), ratings.sequential_ratings(both)):
+        events, state = rated
+        for tour, matches in (("atp", once), ("wta", other)):
+            got = by_event(events.filter(F.col("tour") == tour))
+            for e, v in elo_loop(matches).items():
+                assert got[e] == pytest.approx(v, abs=1e-6)
+        assert ratings.rating_snapshot(state).filter("player_id = 'a' AND surface = 'ALL'").count() == 2
+    assert ratings.sequential_ratings(both.limit(0))[0].count() == 0
+
+
 def test_rating_changes_sum_to_zero(spark):
     rnd = random.Random(6)
     matches = [(f"m{i}", i // 10, *rnd.sample("abcdef", 2), "Hard", 32.0) for i in range(30)]
