@@ -56,7 +56,7 @@ QUOTES = """SELECT match_date, CASE WHEN tourney_id % 3 = 0 THEN p2_id ELSE p1_i
  tourney_id, match_num FROM {scored}"""
 MAKERS = """, qt AS (""" + QUOTES.format(scored="scored") + """),
 mk AS (SELECT * FROM (VALUES (1, 'maker_a', 0.0, 10), (2, 'maker_b', 0.02, 20), (3, 'maker_c', 0.05, 20), (4, 'flashscore_event_page', 0.01, 20), (5, 'maker_a', -5.0, 20)) t(i, bookmaker, shift, hour)),
-od AS (SELECT match_date, a_id, b_id, no_ids, bookmaker, oa + shift AS oa, ob + shift AS ob, hour FROM qt, mk WHERE tourney_id % 7 <> 0 AND (i < 4 OR match_num = 1))"""
+od AS (SELECT match_date, tourney_id, a_id, b_id, no_ids, bookmaker, oa + shift AS oa, ob + shift AS ob, hour FROM qt, mk WHERE tourney_id % 7 <> 0 AND (i < 4 OR match_num = 1))"""
 
 
 def quotes(spark, folder):
@@ -70,37 +70,43 @@ def quotes(spark, folder):
         for i, b, s, h in ((1, "maker_a", 0.0, 10), (2, "maker_b", 0.02, 20), (3, "maker_c", 0.05, 20), (4, "flashscore_event_page", 0.01, 20), (5, "maker_a", -5.0, 20))])
     rows = q.filter("tourney_id % 7 <> 0").select("*", F.explode(makers).alias("m")).filter((F.col("m.i") < 4) | (F.col("match_num") == 1))
     return rows.select(
-        "match_date", "a_id", "b_id", "no_ids", "m.bookmaker", (F.col("oa") + F.col("m.shift")).alias("oa"),
+        "match_date", "tourney_id", "a_id", "b_id", "no_ids", "m.bookmaker", (F.col("oa") + F.col("m.shift")).alias("oa"),
         (F.col("ob") + F.col("m.shift")).alias("ob"), F.col("m.hour").alias("hour"))
 
 
 @query("c05_join_pred_odds", twin(["scored"], MAKERS + f""", al AS (SELECT match_date, no_ids, least(a_id, b_id) AS lo, greatest(a_id, b_id) AS hi, least('n' || a_id, 'n' || b_id) AS nlo, greatest('n' || a_id, 'n' || b_id) AS nhi,
-  a_id, b_id, oa, ob, bookmaker, hour FROM od),
-byid AS (SELECT match_date, lo, hi, CASE WHEN a_id <= b_id THEN oa ELSE ob END AS o1, CASE WHEN a_id <= b_id THEN ob ELSE oa END AS o2, bookmaker, hour,
+  a_id, b_id, oa, ob, bookmaker, hour, 't' || tourney_id % 5 AS tn FROM od),
+byid AS (SELECT match_date, lo, hi, CASE WHEN a_id <= b_id THEN oa ELSE ob END AS o1, CASE WHEN a_id <= b_id THEN ob ELSE oa END AS o2, bookmaker, hour, tn,
   max(hour) OVER (PARTITION BY match_date, lo, hi) AS mh FROM al WHERE NOT no_ids),
 gi AS (SELECT match_date, lo, hi, count(*) AS any_rows, median(CASE WHEN o1 > 1 AND o2 > 1 THEN o1 END) AS o1, median(CASE WHEN o1 > 1 AND o2 > 1 THEN o2 END) AS o2,
-  count(DISTINCT CASE WHEN o1 > 1 AND o2 > 1 AND bookmaker <> 'flashscore_event_page' THEN bookmaker END) AS nm, count_if(o1 > 1 AND o2 > 1) AS pairs FROM byid WHERE hour = mh GROUP BY 1, 2, 3),
-byname AS (SELECT match_date, nlo, nhi, CASE WHEN 'n' || a_id <= 'n' || b_id THEN oa ELSE ob END AS o1, CASE WHEN 'n' || a_id <= 'n' || b_id THEN ob ELSE oa END AS o2, bookmaker, hour,
+  count(DISTINCT CASE WHEN o1 > 1 AND o2 > 1 AND bookmaker <> 'flashscore_event_page' THEN bookmaker END) AS nm, count_if(o1 > 1 AND o2 > 1) AS pairs, min(CASE WHEN o1 > 1 AND o2 > 1 THEN tn END) AS tn FROM byid WHERE hour = mh GROUP BY 1, 2, 3),
+byname AS (SELECT match_date, nlo, nhi, CASE WHEN 'n' || a_id <= 'n' || b_id THEN oa ELSE ob END AS o1, CASE WHEN 'n' || a_id <= 'n' || b_id THEN ob ELSE oa END AS o2, bookmaker, hour, tn,
   max(hour) OVER (PARTITION BY match_date, nlo, nhi) AS mh FROM al),
 gn AS (SELECT match_date, nlo, nhi, median(CASE WHEN o1 > 1 AND o2 > 1 THEN o1 END) AS o1, median(CASE WHEN o1 > 1 AND o2 > 1 THEN o2 END) AS o2,
-  count(DISTINCT CASE WHEN o1 > 1 AND o2 > 1 AND bookmaker <> 'flashscore_event_page' THEN bookmaker END) AS nm, count_if(o1 > 1 AND o2 > 1) AS pairs FROM byname WHERE hour = mh GROUP BY 1, 2, 3),
+  count(DISTINCT CASE WHEN o1 > 1 AND o2 > 1 AND bookmaker <> 'flashscore_event_page' THEN bookmaker END) AS nm, count_if(o1 > 1 AND o2 > 1) AS pairs, min(CASE WHEN o1 > 1 AND o2 > 1 THEN tn END) AS tn FROM byname WHERE hour = mh GROUP BY 1, 2, 3),
 j AS (SELECT match_key, CASE WHEN gi.any_rows IS NOT NULL THEN gi.o1 WHEN 'n' || p1_id <= 'n' || p2_id THEN gn.o1 ELSE gn.o2 END AS odds_p1,
   CASE WHEN gi.any_rows IS NOT NULL THEN gi.o2 WHEN 'n' || p1_id <= 'n' || p2_id THEN gn.o2 ELSE gn.o1 END AS odds_p2,
   CASE WHEN gi.any_rows IS NOT NULL THEN CASE WHEN gi.nm > 0 THEN gi.nm ELSE gi.pairs END ELSE CASE WHEN gn.nm > 0 THEN gn.nm ELSE gn.pairs END END AS bookmaker_count,
-  CASE WHEN CASE WHEN gi.any_rows IS NOT NULL THEN gi.pairs ELSE gn.pairs END > 1 THEN 'median' ELSE 'single_source' END AS aggregation_method
+  CASE WHEN CASE WHEN gi.any_rows IS NOT NULL THEN gi.pairs ELSE gn.pairs END > 1 THEN 'median' ELSE 'single_source' END AS aggregation_method,
+  CASE WHEN gi.any_rows IS NOT NULL THEN gi.tn ELSE gn.tn END AS tournament
  FROM scored s LEFT JOIN gi ON gi.match_date = s.match_date AND gi.lo = p1_id AND gi.hi = p2_id
   LEFT JOIN gn ON gn.match_date = s.match_date AND gn.nlo = least('n' || p1_id, 'n' || p2_id) AND gn.nhi = greatest('n' || p1_id, 'n' || p2_id))
-SELECT match_key, {r6('odds_p1')} AS odds_p1, {r6('odds_p2')} AS odds_p2, CAST(bookmaker_count AS BIGINT) AS bookmaker_count, aggregation_method FROM j WHERE odds_p1 IS NOT NULL AND bookmaker_count >= 2"""))
+SELECT match_key, {r6('odds_p1')} AS odds_p1, {r6('odds_p2')} AS odds_p2, CAST(bookmaker_count AS BIGINT) AS bookmaker_count, aggregation_method, tournament, 'on ' || tournament AS surface FROM j WHERE odds_p1 IS NOT NULL AND bookmaker_count >= 2"""))
 def join_pred_odds(spark, folder):
-    n = F.lit("n")
+    """Names are written in two ways, and some odds use an alias."""
+    n, old = F.lit("J.-W. "), F.col("a_id") % 3 == 0
+    written = F.when(old, F.concat(F.lit("Old "), "a_id")).otherwise(F.concat(F.lit("j w "), "a_id"))
+    aliases = views.table(spark, folder, "supplier").filter("s_suppkey % 3 = 0").select(
+        F.concat(F.lit("OLD "), "s_suppkey").alias("alias"), F.concat(n, "s_suppkey").alias("canonical"))
     pred = views.scored(spark, folder).select(
         "match_key", "match_date", "p1_id", "p2_id", F.concat(n, "p1_id").alias("p1_name"), F.concat(n, "p2_id").alias("p2_name"))
     odds = quotes(spark, folder).select(
         "match_date", F.col("hour").alias("captured_at"), "bookmaker", F.when(~F.col("no_ids"), F.col("a_id")).alias("o1_id"),
-        F.when(~F.col("no_ids"), F.col("b_id")).alias("o2_id"), F.concat(n, "a_id").alias("o1_name"), F.concat(n, "b_id").alias("o2_name"),
-        F.col("oa").alias("odds_p1"), F.col("ob").alias("odds_p2"))
-    return marketplace.join_predictions(pred, odds, min_bookmakers=2).select(
-        "match_key", real("odds_p1").alias("odds_p1"), real("odds_p2").alias("odds_p2"), "bookmaker_count", "aggregation_method")
+        F.when(~F.col("no_ids"), F.col("b_id")).alias("o2_id"), written.alias("o1_name"), F.concat(n, "b_id").alias("o2_name"),
+        F.col("oa").alias("odds_p1"), F.col("ob").alias("odds_p2"), F.concat(F.lit("t"), F.col("tourney_id") % 5).alias("tournament"),
+        F.concat(F.lit("on t"), F.col("tourney_id") % 5).alias("surface"))
+    return marketplace.join_predictions(pred, odds, min_bookmakers=2, aliases=aliases).select(
+        "match_key", real("odds_p1").alias("odds_p1"), real("odds_p2").alias("odds_p2"), "bookmaker_count", "aggregation_method", "tournament", "surface")
 
 
 @query("c06_asof_previous", twin(["odds"], f"""SELECT c.snapshot_id, max(p.captured_at) AS prev_captured_at, {r6('arg_max(p.odds_p1, p.captured_at)')} AS prev_odds_p1

@@ -11,7 +11,10 @@ from boutwise.functions.market import (
     MAX_DAILY_BETS, MAX_DAILY_SHARE, MIN_EDGE, MIN_STAKE, cents, kelly, movement_class, power_exponent,
     remove_overround, score_edges,
 )
+from boutwise.functions.text import canonical_id, normalize_name
 from boutwise.operators.history import History, PrefixLast
+from boutwise.operators.keyed import canonical_name
+from boutwise.session import materialize
 
 # Names that stand for a page and not for a bookmaker.
 PLACEHOLDER_BOOKMAKERS = ["flashscore_market_median", "flashscore_event_page"]
@@ -23,19 +26,21 @@ UPLOAD_DEFAULTS = {
 
 
 def latest_capture(odds: DataFrame, keys: list[str], captured: str) -> DataFrame:
-    """All rows of each key's latest capture time; rows without a time count only if none has one."""
-    newest = odds.groupBy(*keys).agg(F.max(captured).alias("_latest"))
-    return odds.join(newest, keys).filter(
-        (F.col(captured) == F.col("_latest")) | F.col("_latest").isNull()).drop("_latest")
+    """All rows of each key's latest capture time; rows without a time count only if none has one.
+
+    A rank of 1 lets Spark trim each key before the shuffle.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.col(captured).desc_nulls_last())
+    return odds.withColumn("_n", F.rank().over(newest)).filter(F.col("_n") == 1).drop("_n")
 
 
 def market_consensus(
-    odds: DataFrame, keys: list[str], captured: str, low: str, high: str, keep_unpriced: bool = False,
+    odds: DataFrame, keys: list[str], captured: str, low: str, high: str, keep_unpriced: bool = False, event: list[str] | None = None,
 ) -> DataFrame:
     """Median price of both sides over the latest rows of each key, and how many makers quote.
 
     Rows with a price of 1 or less do not count; a key with no other row is dropped unless
-    `keep_unpriced`. Prices have few distinct values, so the exact median merges value counts before
+    `keep_unpriced`. `event` columns come together from the least priced row. Prices have few distinct values, so the exact median merges value counts before
     the shuffle.
     """
     rows = latest_capture(odds, keys, captured)
@@ -50,8 +55,9 @@ def market_consensus(
         F.percentile(F.when(valid, F.col(high)), F.lit(0.5)).alias(high),
         F.count_distinct(named).alias("_named"), F.max(F.when(valid, nested)).alias("_nested"),
         F.count_if(valid).alias("pairs"), F.min(F.when(valid, method)).alias("_method"),
+        *([F.min(F.when(valid, F.struct(*event))).alias("_event")] if event else []),
     ).select(
-        *keys, low, high,
+        *keys, low, high, *[F.col(f"_event.{c}").alias(c) for c in event or []],
         F.when(F.col("_named") > 0, F.col("_named")).otherwise(F.greatest("_nested", "pairs")).alias("bookmaker_count"),
         F.when(F.col("pairs") > 1, "median").otherwise(F.coalesce("_method", F.lit("single_source")))
         .alias("aggregation_method"),
@@ -59,47 +65,56 @@ def market_consensus(
     return found if keep_unpriced else found.filter(F.col(low).isNotNull())
 
 
+def _canonical_pair(df: DataFrame, ids: list[str], names: list[str], aliases: DataFrame | None) -> DataFrame:
+    """_id1, _id2, _name1, _name2: ids and names of both sides in their canonical form, NULL where blank."""
+    for i, (known, name) in enumerate(zip(ids, names), 1):
+        df = df.withColumn(f"_id{i}", canonical_id(F.col(known)))
+        df = df.withColumn(f"_name{i}", normalize_name(F.col(name))) if aliases is None else canonical_name(df, name, aliases, f"_name{i}")
+        df = df.withColumn(f"_name{i}", F.nullif(f"_name{i}", F.lit("")))
+    return df
+
+
 def join_predictions(
-    pred: DataFrame, odds: DataFrame, captured: str = "captured_at", min_bookmakers: int = 1,
+    pred: DataFrame, odds: DataFrame, captured: str = "captured_at", min_bookmakers: int = 1, aliases: DataFrame | None = None,
 ) -> DataFrame:
     """Each prediction with the consensus price of its date and pair, sides aligned to p1 and p2.
 
-    The pair is unordered. Ids decide where both sides have them, names where the ids find nothing.
-    Odds collapse to one row per date and pair before they meet the predictions, so no pair of rows
-    is built more than once.
+    The pair is unordered. Ids decide where both sides have them, names where the ids find nothing; both are compared in
+    canonical form, names after `aliases(alias, canonical)` where given. tournament and surface, where the odds have them,
+    are those of the least priced row. A row of odds gets both its keys at once, so odds are read, trimmed to the latest capture
+    and collapsed once; the stored prices, one row per date and key, then meet the predictions twice.
     """
+    event = [c for c in ("tournament", "surface") if c in odds.columns]
+    rows = _canonical_pair(odds, ["o1_id", "o2_id"], ["o1_name", "o2_name"], aliases)
 
-    def priced(a: str, b: str, prefix: str) -> DataFrame:
+    def key(kind: str, a: str, b: str) -> Column:
         first = F.col(a) <= F.col(b)
-        rows = odds.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({
-            "_low": F.least(a, b), "_high": F.greatest(a, b),
-            "_odds_low": F.when(first, F.col("odds_p1")).otherwise(F.col("odds_p2")),
-            "_odds_high": F.when(first, F.col("odds_p2")).otherwise(F.col("odds_p1")),
-        })
-        found = market_consensus(rows, ["match_date", "_low", "_high"], captured, "_odds_low", "_odds_high", True)
-        return found.select(
-            "match_date", F.col("_low").alias(f"{prefix}_lo"), F.col("_high").alias(f"{prefix}_hi"),
-            F.struct("_odds_low", "_odds_high", "bookmaker_count", "aggregation_method").alias(f"{prefix}_price"))
-
-    out = pred.withColumns({
-        "i_lo": F.least("p1_id", "p2_id"), "i_hi": F.greatest("p1_id", "p2_id"),
-        "n_lo": F.least("p1_name", "p2_name"), "n_hi": F.greatest("p1_name", "p2_name"),
-    })
-    out = out.join(priced("o1_id", "o2_id", "i"), ["match_date", "i_lo", "i_hi"], "left")
-    out = out.join(priced("o1_name", "o2_name", "n"), ["match_date", "n_lo", "n_hi"], "left")
-    by_id = F.col("i_price").isNotNull()
-    price = F.coalesce("i_price", "n_price")
-    first = F.when(by_id, F.col("p1_id") == F.col("i_lo")).otherwise(F.col("p1_name") == F.col("n_lo"))
-    return (
-        out.withColumns({"_price": price, "_first": first})
-        .filter(F.col("_price._odds_low").isNotNull() & (F.col("_price.bookmaker_count") >= min_bookmakers))
-        .select(
-            *pred.columns,
-            F.when(F.col("_first"), F.col("_price._odds_low")).otherwise(F.col("_price._odds_high")).alias("odds_p1"),
-            F.when(F.col("_first"), F.col("_price._odds_high")).otherwise(F.col("_price._odds_low")).alias("odds_p2"),
-            F.col("_price.bookmaker_count").alias("bookmaker_count"),
-            F.col("_price.aggregation_method").alias("aggregation_method"))
-    )
+        return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(
+            F.lit(kind).alias("kind"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"),
+            F.when(first, F.col("odds_p1")).otherwise(F.col("odds_p2")).alias("odds_lo"),
+            F.when(first, F.col("odds_p2")).otherwise(F.col("odds_p1")).alias("odds_hi")))
+
+    used = [c for c in (captured, "bookmaker", "bookmaker_count", "aggregation_method", *event) if c in odds.columns]
+    rows = rows.select("match_date", *used, F.explode(F.array_compact(F.array(key("id", "_id1", "_id2"), key("name", "_name1", "_name2")))).alias("_k"))
+    rows = rows.select("match_date", *used, "_k.*")
+    prices = materialize(market_consensus(rows, ["match_date", "kind", "lo", "hi"], captured, "odds_lo", "odds_hi", True, event))
+
+    out = _canonical_pair(pred, ["p1_id", "p2_id"], ["p1_name", "p2_name"], aliases)
+    packed = F.struct("odds_lo", "odds_hi", "bookmaker_count", "aggregation_method", *event)
+    for kind in ("id", "name"):
+        mine = prices.filter(F.col("kind") == kind).select(
+            F.col("match_date").alias("_day"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), packed.alias(f"_{kind}_price"))
+        a, b = f"_{kind}1", f"_{kind}2"
+        out = out.join(mine, (F.col("match_date") == F.col("_day")) & (F.least(a, b) == F.col("_lo")) & (F.greatest(a, b) == F.col("_hi"))
+                       & F.col(a).isNotNull() & F.col(b).isNotNull(), "left").drop("_day", "_lo", "_hi")
+    by_id = F.col("_id_price").isNotNull()
+    first = F.when(by_id, F.col("_id1") <= F.col("_id2")).otherwise(F.col("_name1") <= F.col("_name2"))
+    out = out.withColumns({"_price": F.coalesce("_id_price", "_name_price"), "_first": first})
+    return out.filter(F.col("_price.odds_lo").isNotNull() & (F.col("_price.bookmaker_count") >= min_bookmakers)).select(
+        *[c for c in pred.columns if c not in event], *[F.col(f"_price.{c}").alias(c) for c in event],
+        F.when(F.col("_first"), F.col("_price.odds_lo")).otherwise(F.col("_price.odds_hi")).alias("odds_p1"),
+        F.when(F.col("_first"), F.col("_price.odds_hi")).otherwise(F.col("_price.odds_lo")).alias("odds_p2"),
+        F.col("_price.bookmaker_count").alias("bookmaker_count"), F.col("_price.aggregation_method").alias("aggregation_method"))
 
 
 def movement_key(match_id: Column, day: Column, tour: Column, name_1: Column, name_2: Column) -> Column:

@@ -11,12 +11,13 @@ from boutwise.operators.keyed import date_window, refuse_in_sample
 from boutwise.operators.marketplace import join_predictions, with_edges
 
 
-def scored_window(pred: DataFrame, odds: DataFrame, start: str | None, end: str | None, cutoff: str | None = None) -> DataFrame:
+def scored_window(pred: DataFrame, odds: DataFrame, start: str | None, end: str | None, cutoff: str | None = None,
+                  aliases: DataFrame | None = None) -> DataFrame:
     """Predictions of a date window joined with their prices and edges."""
     pred = date_window(pred, "match_date", start, end)
     if cutoff:
         refuse_in_sample(pred, "match_date", cutoff)
-    return with_edges(join_predictions(pred, date_window(odds, "match_date", start, end)), "prob")
+    return with_edges(join_predictions(pred, date_window(odds, "match_date", start, end), aliases=aliases), "prob")
 
 
 def strategy_curves(

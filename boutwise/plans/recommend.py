@@ -23,9 +23,10 @@ def prediction_id(tour: Column, day: Column, p1: Column, p2: Column, side: Colum
 
 def daily_recommendations(
     pred: DataFrame, odds: DataFrame, capital: float, by: list[str], least: float = MIN_EDGE, min_bookmakers: int = 1,
+    aliases: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Staked bets per group of `by` (tour and day), and the status of every group."""
-    scored = with_edges(join_predictions(pred, odds, min_bookmakers=min_bookmakers), "prob")
+    scored = with_edges(join_predictions(pred, odds, min_bookmakers=min_bookmakers, aliases=aliases), "prob")
     return recommend(scored, by, ["match_key"], capital, least), recommendation_status(scored, by, "match_key", least)
 
 
