@@ -104,3 +104,15 @@ def test_a_broken_table_is_not_taken_for_none(spark, tmp_path):
     with pytest.raises(Exception):
         streams._read(spark, str(tmp_path / "bad")).count()
     assert market.MAX_DAILY_SHARE == 0.5
+
+
+def test_quantiles_with_an_outlier(spark):
+    from boutwise.operators import quantiles
+
+    values = [("a", float(k)) for k in range(2000)] + [("a", 1e12), ("b", 5.0), ("b", None), ("c", None)]
+    df = spark.createDataFrame(values, "g string, v double")
+    for small in (10, 100_000):
+        got = quantiles.ranked_values(df, ["g"], "v", [F.lit(3), F.col("n")], buckets=16, small=small).collect()
+        assert sorted((r.g, r.r, r.v, r.before) for r in got) == [("a", 0, 2.0, 2), ("a", 1, 1e12, 2000), ("b", 1, 5.0, 0)]
+    assert {r.g: r.v for r in quantiles.median(df, ["g"], "v").collect()} == {"a": 1000.0, "b": 5.0}
+    assert quantiles.median(df.filter("g = 'a' AND v < 4"), [], "v").first()[0] == 1.5
