@@ -112,6 +112,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-@query("op10_tool_calls")
+CALLS_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS call_id, ['search', 'translate', 'summarise'][CAST((conv_id + turn // 2) % 3 + 1 AS INT)] AS name,
+   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn // 2 - (turn - turn // 2) % 2 AS before FROM conversations WHERE role = 'user'),
+a AS (SELECT *, CASE WHEN before >= 0 AND before < turn THEN conv_id || '-' || before END AS after, CASE name WHEN 'search' THEN CAST(to_json(struct_pack("limit" := words, query := text)) AS VARCHAR)
+   WHEN 'translate' THEN CAST(to_json(struct_pack(formal := turn % 4 < 2, text := text)) AS VARCHAR)
+   ELSE CAST(to_json(struct_pack(share := words / (words + 10.0), text := text)) AS VARCHAR) END AS arguments FROM c),
+lv AS (SELECT call_id, 0 AS level FROM a WHERE after IS NULL UNION ALL SELECT a.call_id, lv.level + 1 FROM a JOIN lv ON a.after = lv.call_id),
+r AS (SELECT conv_id || '-' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+e AS (SELECT a.*, level, r.call_id IS NOT NULL AS linked, content, list_sort(list_filter([
+   CASE WHEN name = 'search' AND words NOT BETWEEN 1 AND 40 THEN 'bounds: limit' END, CASE WHEN name = 'summarise' AND words / (words + 10.0) > 0.75 THEN 'bounds: share' END,
+   CASE WHEN text IS NULL THEN 'missing: ' || CASE WHEN name = 'search' THEN 'query' ELSE 'text' END
+        WHEN name = 'search' AND length(text) NOT BETWEEN 1 AND 400 THEN 'bounds: query' WHEN name = 'translate' AND length(text) < 1 OR name = 'summarise' AND length(text) < 100 THEN 'bounds: text' END
+   ], lambda x: x IS NOT NULL)) AS errors FROM a LEFT JOIN lv USING (call_id) LEFT JOIN r USING (call_id))
+SELECT conv_id, turn, call_id, name, level, linked, CAST(len(errors) AS BIGINT) AS n_errors, array_to_string(errors, ', ') AS errors, CAST(to_json(struct_pack(arguments := arguments, conv_id := conv_id,
+  errors := errors, id := call_id, level := level, name := name, result := content, turn := turn, waits_for := CASE WHEN after IS NULL THEN [] ELSE [after] END)) AS VARCHAR) AS json FROM e
+"""
+
+
+@query("op10_tool_calls", CALLS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.format_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ", "))
