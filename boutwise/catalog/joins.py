@@ -206,8 +206,8 @@ s2 AS (SELECT raw, pool.norm AS ename, bl.id, CASE WHEN c = 1 THEN 100.0 ELSE 10
   FROM o2 JOIN bl ON bl.l = kl AND bl.i = ki JOIN pool ON pool.id = bl.id),
 o3 AS (SELECT raw, norm FROM o2 WHERE raw NOT IN (SELECT raw FROM s2)),
 nr AS (SELECT raw, bn.norm AS ename, id, 100.0 * (1.0 - levenshtein(o3.norm, bn.norm) / greatest(length(o3.norm), length(bn.norm))) AS score, levenshtein(o3.norm, bn.norm) AS d
-  FROM o3 JOIN bn ON abs(length(o3.norm) - length(bn.norm)) <= 2),
-s3 AS (SELECT raw, ename, id, score, 'near' AS stage FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, id) AS rn FROM nr WHERE d <= 2 AND score >= 85) WHERE rn = 1),
+  FROM o3 JOIN bn ON length(bn.norm) BETWEEN length(o3.norm) * 0.84 AND length(o3.norm) / 0.84),
+s3 AS (SELECT raw, ename, id, score, 'near' AS stage FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, id) AS rn FROM nr WHERE score >= 85) WHERE rn = 1),
 s4 AS (SELECT raw, raw AS ename, NULL AS id, 0.0 AS score, 'open' AS stage FROM o3 WHERE raw NOT IN (SELECT raw FROM s3))
 SELECT raw, lower(ename) AS entity_name, CAST(id AS BIGINT) AS entity_id, round(CAST(score AS DOUBLE) + 1e-9, 6) AS score, stage FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4)""")
 def resolve_entities(spark, folder):

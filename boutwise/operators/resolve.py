@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from boutwise.functions.text import normalize_name
 from boutwise.operators.keyed import small
+from boutwise.session import materialize
 
-MAX_EDITS = 2
+LEAST_THRESHOLD = 60.0  # below, a short name may change all its letters
+EPS = 1e-9
 LAST_INITIAL = r"^(.+?)\s+([A-Za-z])\.?$"
 INITIAL_LAST = r"^([A-Za-z])\.?\s+(.+)$"
 
@@ -18,23 +20,56 @@ def similarity(a: Column, b: Column) -> Column:
     return 100.0 * (1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
 
 
-def _shortened(name: Column, edits: int = MAX_EDITS) -> Column:
-    """A name and all it can become by leaving out up to `edits` letters.
+def _most_edits(length: Column, share: float) -> Column:
+    """Edits between a name of this length and any name it may still be similar to."""
+    return F.floor((F.floor(length / share + EPS)) * (1.0 - share) + EPS).cast("int")
 
-    Two names within that many edits share at least one of these, so an equi-join on them finds all
-    near names without comparing every pair.
+
+def _part(length: Column, i: Column, share: float) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of the even parts that a name of this length is cut into."""
+    parts = _most_edits(length, share) + 1
+    size, larger = F.floor(length / parts), length % parts  # the last `larger` parts hold one letter more
+    return i * size + F.greatest(F.lit(0), i - (parts - larger)), size + (i >= parts - larger).cast("int")
+
+
+def _up_to(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _own_parts(name: Column, share: float) -> Column:
+    """Keys of a known name: each of its parts, with its length and the part's number.
+
+    A name cut into one part more than it may have edits keeps one part unchanged in every similar name, so an equi-join on
+    parts meets all of them without comparing every pair.
     """
+    length = F.length(name)
+
+    def key(i: Column) -> Column:
+        start, size = _part(length, i, share)
+        return F.concat_ws("|", length.cast("string"), i.cast("string"), F.substring(name, start + 1, size))
+
+    return F.transform(_up_to(F.lit(0), _most_edits(length, share)), key)
+
+
+def _possible_parts(name: Column, share: float) -> Column:
+    """Keys of an open name: all parts that similar names of any length might share with it."""
+    own = F.length(name)
+
+    def of_length(length: Column) -> Column:
+        most = _most_edits(length, share)
+
+        def of_part(i: Column) -> Column:
+            start, size = _part(length, i, share)
+            # Edits before the part shift it, edits after it make up the rest of the difference in length.
+            places = F.filter(_up_to(F.greatest(F.lit(0), start - most), F.least(own - size, start + most)),
+                              lambda at: F.abs(at - start) + F.abs(own - length - (at - start)) <= most)
+            return F.transform(places, lambda at: F.concat_ws(
+                "|", length.cast("string"), i.cast("string"), F.substring(name, at + 1, size)))
 
-    def leave_one(s: Column) -> Column:
-        cut = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        return F.array_append(cut, s)
+        return F.flatten(F.transform(_up_to(F.lit(0), most), of_part))
 
-    found = leave_one(name)
-    for _ in range(edits - 1):
-        found = F.array_distinct(F.flatten(F.transform(found, leave_one)))
-    return F.array_distinct(found)
+    lengths = _up_to(F.ceil(own * share - EPS), F.floor(own / share + EPS))
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def resolve_names(
@@ -45,11 +80,15 @@ def resolve_names(
     `pool` has `entity_id`, `first_name`, `last_name`. A stage sees only names the earlier ones left
     open. Names with the same last name and initial carry no more than these two, so the pool is
     reduced to one candidate per block before it is joined. The score is an edit-distance share, not
-    the scorer of any fuzzy-matching package, so thresholds are this library's own.
+    the scorer of any fuzzy-matching package, so thresholds are this library's own. Near names are all those at or
+    above the threshold, however many edits that allows.
     """
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"a threshold of {LEAST_THRESHOLD} at least keeps part of every name")
+    share = threshold / 100.0
     full = F.concat_ws(" ", "first_name", "last_name")
     pool = pool.withColumn("full", full).withColumn("norm", normalize_name(full))
-    by_name = pool.groupBy("norm").agg(F.min_by(F.struct("full", "entity_id"), "entity_id").alias("_hit"))
+    by_name = materialize(pool.groupBy("norm").agg(F.min_by(F.struct("full", "entity_id"), "entity_id").alias("_hit")))
     names = raw.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("norm", normalize_name(F.col(name)))
 
     def answer(df: DataFrame, entity_name: Column, entity_id: Column, score: Column, stage: str) -> DataFrame:
@@ -64,7 +103,7 @@ def resolve_names(
         hit = hit.join(by_name.withColumnRenamed("norm", "_n"), "_n", "left")
         answers.append(answer(hit, F.col("_to"), F.col("_hit.entity_id"), F.lit(100.0), "override"))
         open_names = open_names.join(table, "norm", "left_anti")
-    exact = open_names.join(by_name, "norm", "left")
+    exact = materialize(open_names.join(by_name, "norm", "left"))  # stored, so that no stage runs the earlier ones again
     answers.append(answer(
         exact.filter("_hit IS NOT NULL"), F.col("_hit.full"), F.col("_hit.entity_id"), F.lit(100.0), "exact"))
     open_names = exact.filter("_hit IS NULL").drop("_hit")
@@ -78,23 +117,22 @@ def resolve_names(
         F.substring(normalize_name(F.col("first_name")), 1, 1).alias("_initial"),
     ).agg(F.count("*").alias("_c"),
           F.min(F.struct(F.length("full").alias("l"), "entity_id", "full")).alias("_hit"))
-    blocked = open_names.withColumns({"_last": normalize_name(last), "_initial": F.lower(initial)}).join(
-        blocks, ["_last", "_initial"], "left")
+    blocked = materialize(open_names.withColumns({"_last": normalize_name(last), "_initial": F.lower(initial)}).join(
+        blocks, ["_last", "_initial"], "left"))
     answers.append(answer(
         blocked.filter("_hit IS NOT NULL"), F.col("_hit.full"), F.col("_hit.entity_id"),
         F.when(F.col("_c") == 1, F.lit(100.0)).otherwise(similarity(F.col("norm"), normalize_name(F.col("_hit.full")))),
         "block"))
     open_names = blocked.filter("_hit IS NULL").select(name, "norm")
 
-    mine = open_names.select(name, "norm", F.explode(_shortened(F.col("norm"))).alias("_v"))
-    theirs = by_name.select(F.col("norm").alias("_norm"), "_hit", F.explode(_shortened(F.col("norm"))).alias("_v"))
+    mine = open_names.select(name, "norm", F.explode(_possible_parts(F.col("norm"), share)).alias("_v"))
+    theirs = by_name.select(F.col("norm").alias("_norm"), "_hit", F.explode(_own_parts(F.col("norm"), share)).alias("_v"))
     near = (
         mine.join(theirs, "_v").drop("_v")
-        .withColumn("_d", F.levenshtein("norm", "_norm")).filter(F.col("_d") <= MAX_EDITS)
         .withColumn("_s", similarity(F.col("norm"), F.col("_norm"))).filter(F.col("_s") >= threshold)
     )
     best = near.groupBy(name).agg(F.max_by(F.struct("_hit", "_s"), F.struct("_s", -F.col("_hit.entity_id"))).alias("_b"))
-    found = open_names.join(best, name, "left")
+    found = materialize(open_names.join(best, name, "left"))
     answers.append(answer(
         found.filter("_b IS NOT NULL"), F.col("_b._hit.full"), F.col("_b._hit.entity_id"), F.col("_b._s"), "near"))
     answers.append(answer(

@@ -116,3 +116,38 @@ def test_quantiles_with_an_outlier(spark):
         assert sorted((r.g, r.r, r.v, r.before) for r in got) == [("a", 0, 2.0, 2), ("a", 1, 1e12, 2000), ("b", 1, 5.0, 0)]
     assert {r.g: r.v for r in quantiles.median(df, ["g"], "v").collect()} == {"a": 1000.0, "b": 5.0}
     assert quantiles.median(df.filter("g = 'a' AND v < 4"), [], "v").first()[0] == 1.5
+
+
+def test_near_names_of_any_number_of_edits(spark):
+    import random
+
+    from boutwise.operators import resolve
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        return row[-1]
+
+    rnd = random.Random(8)
+    known = ["Alexandrina Papadopoulou-Smith", "Ab Cd", "X"] + ["".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 26))) for _ in range(60)]
+
+    def changed(text):
+        for _ in range(rnd.randint(1, 5)):
+            at = rnd.randrange(len(text) + 1)
+            text = text[:at] + rnd.choice(["", "z", "a"]) + text[at + rnd.randint(0, 1):]
+        return text
+
+    raw = ["Alexandrine Papadopolou Smitt"] + [changed(rnd.choice(known)) for _ in range(150)]
+    pool = spark.createDataFrame([(i, *(n.split(" ", 1) if " " in n else ("", n))) for i, n in enumerate(known)], "entity_id long, first_name string, last_name string")
+    for threshold in (85.0, 70.0):
+        got = {r.raw: r for r in resolve.resolve_names(spark.createDataFrame([(r,) for r in raw if r.strip()], "raw string"), "raw", pool, None, threshold).collect()}
+        clean = {i: n.lower().replace("-", " ") for i, n in enumerate(known)}
+        for text, r in got.items():
+            mine = " ".join(text.lower().replace("-", " ").split())
+            best = max(100 * (1 - distance(mine, n.strip()) / max(len(mine), len(n.strip()), 1)) for n in clean.values())
+            if r.stage in ("near", "open"):
+                assert (r.stage == "near") == (best >= threshold - 1e-9) and (r.stage == "open" or r.score == pytest.approx(best))
+        assert got["Alexandrine Papadopolou Smitt"].score == pytest.approx(90.0)
