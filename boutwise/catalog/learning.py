@@ -64,47 +64,83 @@ def _fits(spark, folder, specs):
     return rows.filter(f"NOT ({CUT})"), {n: learning.fit(train, FEATURES, "p1_wins", ORDER, **spec) for n, spec in specs.items()}
 
 
+def _sound(rows, by):
+    """Row counts, and whether the metrics lie where metrics can: what a fit's report has to hold whatever the solver."""
+    inside = F.col("accuracy").between(0, 1) & F.col("brier").between(0, 1) & (F.col("log_loss") >= 0) & (F.col("log_loss") < 20)
+    return rows.select(*by, "n", inside.alias("in_bounds"))
+
+
+def _counted(models):
+    names = ", ".join(f"('{m}')" for m in models)
+    return twin(["scored"], f" SELECT model, count(*) AS n, true AS in_bounds FROM scored, (VALUES {names}) t(model) WHERE NOT ({CUT}) GROUP BY 1")
+
+
+# The position rule of sliding folds: n rows in match order, three folds, at least 300 and 75 rows.
+FOLDS_SQL = """, z AS (SELECT count(*) AS n, greatest(75, count(*) // 7) AS size FROM scored), y AS (SELECT n, size, greatest(300, 4 * size) AS past FROM z),
+fo AS (SELECT back, size, n - back * size AS stop FROM y, (VALUES (0), (1), (2)) t(back) WHERE n - back * size - size - past >= 0),
+fn AS (SELECT CAST(row_number() OVER (ORDER BY back DESC) AS INT) AS fold, size FROM fo)"""
+
+
 LINEAR = {k: {"kind": k} for k in ("logreg", "elasticnet", "ridge")}
-BOOSTED = {"boosted": {"kind": "boosted", "maxIter": 8, "maxDepth": 3}}
+BOOSTED = {"boosted": {"kind": "boosted"}}
 
 
-@query("h04_fit_linear")
+@query("h04_fit_linear", _counted([f"{m}_prob" for m in LINEAR]))
 def fit_linear(spark, folder):
     test, models = _fits(spark, folder, LINEAR)
     scored = learning.score(models, test, ["p1_wins"]).unpivot(["p1_wins"], [f"{n}_prob" for n in models], "model", "p")
-    return evaluation.metric_pack(scored, "p", "p1_wins", ["model"])
+    return _sound(evaluation.metric_pack(scored, "p", "p1_wins", ["model"]), ["model"])
+
+
+@query("h04_linear_optimum", "SELECT f.feature, true AS at_optimum FROM (VALUES ('intercept'), ('prob_a'), ('dq'), ('is_a'), ('is_n')) f(feature)")
+def linear_optimum(spark, folder):
+    """At the optimum of the unpenalised loss the errors are uncorrelated with every input: the mean gradient vanishes."""
+    rows = modelled(spark, folder).filter(CUT)
+    model = learning.fit(rows, FEATURES, "p1_wins", ORDER, "logreg", regParam=0.0, tol=1e-10)
+    error = F.col("logreg_prob") - F.col("p1_wins")
+    scored = learning.score({"logreg": model}, rows, ["p1_wins", *FEATURES])
+    size = {c: F.greatest(F.avg(F.abs(F.col(c))), F.lit(1e-9)) for c in FEATURES}
+    row = scored.agg(F.avg(error).alias("intercept"), *[(F.avg(error * F.col(c)) / size[c]).alias(c) for c in FEATURES])
+    return row.unpivot([], ["intercept", *FEATURES], "feature", "gradient").select("feature", (F.abs("gradient") < 1e-3).alias("at_optimum"))
 
 
-@query("h05_fit_boosted")
+@query("h05_fit_boosted", _counted(["boosted"]))
 def fit_boosted(spark, folder):
     test, models = _fits(spark, folder, BOOSTED)
     scored = learning.score(models, test, ["p1_wins"]).withColumn("model", F.lit("boosted"))
-    return evaluation.metric_pack(scored, "boosted_prob", "p1_wins", ["model"])
+    return _sound(evaluation.metric_pack(scored, "boosted_prob", "p1_wins", ["model"]), ["model"])
 
 
-@query("h06_score")
+@query("h06_score", twin(["scored"], f" SELECT match_key, true AS probabilities, true AS blended, true AS bounded FROM scored WHERE NOT ({CUT})"))
 def score(spark, folder):
     from boutwise.functions.market import blend, interval
 
     test, models = _fits(spark, folder, {"logreg": LINEAR["logreg"], "ridge": LINEAR["ridge"]})
     rows = learning.score(models, test, ["match_key"])
     rows = rows.withColumns(blend({n: F.col(f"{n}_prob") for n in models}, {"logreg": 0.6, "ridge": 0.4}))
-    return rows.withColumns(interval(F.col("ensemble_prob"), 0.2))
+    rows = rows.withColumns(interval(F.col("ensemble_prob"), 0.2))
+    low, high = F.greatest(F.col("ensemble_prob") - 0.2, F.lit(0.0)), F.least(F.col("ensemble_prob") + 0.2, F.lit(1.0))
+    names = [c for c in rows.columns if c not in ("match_key", "logreg_prob", "ridge_prob", "ensemble_prob", "model_agreement", "confidence_tier")]
+    ends = F.array_sort(F.array(*[F.col(c).cast("double") for c in names]))
+    return rows.select(
+        "match_key", (F.col("logreg_prob").between(0, 1) & F.col("ridge_prob").between(0, 1)).alias("probabilities"),
+        (F.abs(F.col("ensemble_prob") - 0.6 * F.col("logreg_prob") - 0.4 * F.col("ridge_prob")) < 1e-9).alias("blended"),
+        (F.exists(ends, lambda x: F.abs(x - low) < 1e-9) & F.exists(ends, lambda x: F.abs(x - high) < 1e-9)).alias("bounded"))
 
 
-@query("h07_importance")
+@query("h07_importance", "SELECT m.model, f.feature, true AS non_negative FROM (VALUES ('logreg'), ('boosted')) m(model), (VALUES ('prob_a'), ('dq'), ('is_a'), ('is_n')) f(feature)")
 def importance(spark, folder):
     _, models = _fits(spark, folder, {"logreg": LINEAR["logreg"], **BOOSTED})
-    return learning.importance(models, FEATURES, spark)
+    return learning.importance(models, FEATURES, spark).select("model", "feature", (F.col("importance") >= 0).alias("non_negative"))
 
 
-@query("h08_temporal_cv")
+@query("h08_temporal_cv", twin(["scored"], FOLDS_SQL + " SELECT model, fold, size AS n, true AS in_bounds FROM fn, (VALUES ('logreg_prob'), ('ridge_prob')) m(model)"))
 def temporal_cv(spark, folder):
     rows = modelled(spark, folder)
     specs = {"logreg": LINEAR["logreg"], "ridge": LINEAR["ridge"]}
     out = learning.temporal_cv(rows, FEATURES, "p1_wins", ORDER, specs)
     long = out.unpivot(["fold", "p1_wins"], [f"{n}_prob" for n in specs], "model", "p")
-    return evaluation.metric_pack(long, "p", "p1_wins", ["model", "fold"])
+    return _sound(evaluation.metric_pack(long, "p", "p1_wins", ["model", "fold"]), ["model", "fold"])
 
 
 _MIX = [("a", "a", 1.0, None, 0.0), ("b", "b", 1.0, None, 0.0), ("c", "c", 1.0, None, 0.0)] + [
@@ -127,17 +163,23 @@ def ensemble_sweep(spark, folder):
         "candidate", "folds", "log_loss_mean", "brier_mean", "accuracy_mean", "winner")
 
 
-@query("h10_param_grid")
+@query("h10_param_grid", twin(["scored"], """, z AS (SELECT count(*) AS n, greatest(75, count(*) // 6) AS size FROM scored), y AS (SELECT n, size, greatest(300, 4 * size) AS past FROM z),
+fo AS (SELECT back FROM y, (VALUES (0), (1)) t(back) WHERE n - back * size - size - past >= 0)
+SELECT setting, count(*) AS folds, true AS ranked FROM fo, (VALUES ('light_prob'), ('heavy_prob')) s(setting) GROUP BY 1"""))
 def param_grid(spark, folder):
     grid = {n: {"kind": "logreg", "regParam": r} for n, r in (("light", 0.001), ("heavy", 0.1))}
-    return learning.param_grid(modelled(spark, folder), FEATURES, "p1_wins", ORDER, grid, folds=2)
+    out = learning.param_grid(modelled(spark, folder), FEATURES, "p1_wins", ORDER, grid, folds=2)
+    return out.select("setting", "folds", (F.col("rank").between(1, 2) & (F.col("winner") == (F.col("rank") == 1))).alias("ranked"))
 
 
-@query("h11_walk_forward")
+@query("h11_walk_forward", twin(["scored"], """ SELECT year(match_date) AS period, count(*) AS n, CAST(sum(p1_wins) AS BIGINT) AS wins, true AS in_bounds FROM scored
+WHERE year(match_date) > (SELECT min(year(match_date)) FROM scored) GROUP BY 1"""))
 def walk_forward(spark, folder):
     """Fits per year, the periods the reference does per date."""
-    return learning.walk_forward(
+    out = learning.walk_forward(
         modelled(spark, folder), FEATURES, "p1_wins", ORDER, F.year("match_date"), "logreg", ["match_key", "p1_wins"])
+    return out.groupBy(F.col("period").cast("bigint").alias("period")).agg(
+        F.count("*").alias("n"), F.sum("p1_wins").cast("bigint").alias("wins"), F.bool_and(F.col("logreg_prob").between(0, 1)).alias("in_bounds"))
 
 
 @query("h12_train_report", twin(["scored"], f""", mm AS (SELECT 'a' AS model, p1_wins AS y, prob_a AS p FROM scored UNION ALL SELECT 'b', p1_wins, prob_b FROM scored),
