@@ -62,7 +62,7 @@ class Classifier:
 
         self.languages, self.encoders = sorted(dictionaries), []
         settings = z.ZstdCompressionParameters.from_level(
-            3, source_size=DICTIONARY_BYTES, dict_size=DICTIONARY_BYTES, strategy=z.STRATEGY_GREEDY, min_match=4,
+            3, source_size=DICTIONARY_BYTES, dict_size=DICTIONARY_BYTES, strategy=z.STRATEGY_BTLAZY2, min_match=4, search_log=6,
             write_content_size=False, write_checksum=False, write_dict_id=False)
         for lang in self.languages:
             content = z.ZstdCompressionDict(dictionaries[lang] or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
