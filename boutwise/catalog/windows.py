@@ -444,12 +444,32 @@ def walk_forward_folds(spark, folder):
     return splits.walk_forward_folds(views.scored(spark, folder), "match_date")
 
 
-@query("e25_elo_exact")
+def _sequential_sql() -> str:
+    """Match by match: a recursive step per match over two lists, the ratings of all players and of all players on all surfaces."""
+    return twin(["master"], f""", em AS MATERIALIZED (SELECT tour, match_key, match_date, tourney_id, match_num, CAST(winner_id AS VARCHAR) AS w, CAST(loser_id AS VARCHAR) AS l, surface, CAST({K_SQL} AS DOUBLE) AS k
+  FROM master WHERE is_training_eligible AND winner_id <> loser_id),
+who AS MATERIALIZED (SELECT tour, id, row_number() OVER (ORDER BY tour, id) AS p FROM (SELECT tour, w AS id FROM em UNION SELECT tour, l FROM em)),
+sf AS MATERIALIZED (SELECT surface, row_number() OVER (ORDER BY surface) AS s FROM (SELECT DISTINCT surface FROM em)),
+mt AS MATERIALIZED (SELECT em.*, a.p AS wi, b.p AS li, (a.p - 1) * (SELECT count(*) FROM sf) + s AS ws, (b.p - 1) * (SELECT count(*) FROM sf) + s AS ls,
+  row_number() OVER (ORDER BY match_date, tourney_id, match_num, em.tour) AS rn
+  FROM em JOIN who a ON a.tour = em.tour AND a.id = w JOIN who b ON b.tour = em.tour AND b.id = l JOIN sf ON sf.surface IS NOT DISTINCT FROM em.surface),
+rec(rn, wo, wx, lo, lx, ch, elo, sur) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE),
+    [CAST(1500.0 AS DOUBLE) FOR x IN range(0, (SELECT count(*) FROM who))], [CAST(NULL AS DOUBLE) FOR x IN range(0, (SELECT count(*) FROM who) * (SELECT count(*) FROM sf))]
+  UNION ALL SELECT rn, wo, wx, lo, lx, ch, e1[:li - 1] || [lo - ch] || e1[li + 1:], s1[:ls - 1] || [lx - ch] || s1[ls + 1:] FROM (
+    SELECT *, elo[:wi - 1] || [wo + ch] || elo[wi + 1:] AS e1, sur[:ws - 1] || [wx + ch] || sur[ws + 1:] AS s1 FROM (
+      SELECT *, k * (1.0 - 1.0 / (1.0 + pow(10.0, ((0.7 * lo + 0.3 * lx) - (0.7 * wo + 0.3 * wx)) / 400.0))) AS ch FROM (
+        SELECT mt.rn, k, wi, li, ws, ls, elo, sur, elo[wi] AS wo, coalesce(sur[ws], elo[wi]) AS wx, elo[li] AS lo, coalesce(sur[ls], elo[li]) AS lx
+        FROM rec JOIN mt ON mt.rn = rec.rn + 1))))
+SELECT tour, match_key, w AS player_id, 1 AS result, round(wo + 1e-9, 3) AS elo_pre, round(wx + 1e-9, 3) AS surface_elo_pre, round(ch + 1e-9, 3) AS change FROM rec JOIN mt ON mt.rn = rec.rn
+UNION ALL SELECT tour, match_key, l, 0, round(lo + 1e-9, 3), round(lx + 1e-9, 3), round(-ch + 1e-9, 3) FROM rec JOIN mt ON mt.rn = rec.rn""", recursive=True)
+
+
+@query("e25_elo_exact", _sequential_sql())
 def elo_exact(spark, folder):
     """Match-by-match ratings, solved a year at a time; ties on a day follow the match order."""
-    events, _ = ratings.sequential_ratings(rating_matches(spark, folder, "match_date", *ORDER))
-    return rounded(events, "elo_pre", "surface_elo_pre", "change").select(
-        "tour", "match_key", "player_id", "result", "elo_pre", "surface_elo_pre", "change")
+    events, _ = ratings.sequential_ratings(rating_matches(spark, folder, "match_date", *ORDER), tolerance=1e-9)
+    return events.select("tour", "match_key", "player_id", "result", *[F.round(F.col(c) + 1e-9, 3).alias(c) for c in ("elo_pre", "surface_elo_pre", "change")])
 
 
 def rating_matches(spark, folder, *order):
