@@ -33,12 +33,12 @@ def dropped_positions(docs: DataFrame, least_chars: int = LEAST_CHARS, least_doc
     base = docs.select("doc_id", text.alias("text")).filter(F.char_length("text") >= least_chars)
     each = base.select(F.array_distinct(F.transform(_hashes(F.col("text"), least_chars), lambda x: x["h"])).alias("hs"))
     often = each.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_docs).select("h")
-    often = stored(often)  # so that the join below has plain shuffles on both sides, and those of hot lines can be split
+    often = stored(often)  # so that joins have plain shuffles on both sides, and those of hot lines can be split
     found = base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_hashes(F.col("text"), least_chars)).alias("x")).select(
         "doc_id", "text_hash", "x.at", "x.h", "x.g").join(often, "h")
     # Dealt out by document as well, so that a line of very many documents is first counted in many tasks.
     counted = found.repartition("h", "g", "doc_id").groupBy("h", "g").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
-    lost = found.join(counted.filter(F.col("docs") >= least_docs), ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = found.join(stored(counted.filter(F.col("docs") >= least_docs)), ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("drops"))
 
 
