@@ -183,6 +183,13 @@ def features(nodes: list[Node]) -> list[list[float]]:
         for child in node.children:
             sums = [a + b for a, b in zip(sums, total[id(child)], strict=True)]
         total[id(node)] = sums
+    # Of every block: its place among its siblings, how many they are, their mean size, and whether it is the first largest.
+    kin = {id(nodes[0]): (0, 1, total[id(nodes[0])][0], True)}
+    for node in nodes:
+        sizes = [total[id(x)][0] for x in node.children]
+        largest, mean = (sizes.index(max(sizes)), sum(sizes) / len(sizes)) if sizes else (0, 0.0)
+        for place, child in enumerate(node.children):
+            kin[id(child)] = (place, len(sizes), mean, place == largest)
     page = total[id(nodes[0])]
     rows, above = [], {}
     for node in nodes:
@@ -195,9 +202,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
         for name in node.names:
             buckets[_bucket(name)] += 1
         main, other = len(node.names & MAIN_NAMES), len(node.names & OTHER_NAMES)
-        family = node.parent.children if node.parent else [node]
-        place = family.index(node) if len(family) < 64 else 0
-        sizes = [total[id(x)][0] for x in family[max(0, place - 32):place + 33]]
+        place, family, mean, largest = kin[id(node)]
         mine = [
             math.log1p(chars), math.log1p(words), stops / (words + 1), linked / (words + 1), words / tags, math.log1p(tags), paragraphs / tags,
             chars / (page[0] + 1), node.chars / (chars + 1), math.log1p(node.chars), len(node.children), float(linked == words)]
@@ -206,7 +211,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
         here = (up[0] + main, up[1] + other, up[2] + (group == 6), up[3] + (group in (7, 8, 9, 10, 11)))
         above[id(node)] = here
         rest = [
-            node.depth, place, len(family), place / len(family), math.log1p(sum(sizes) / len(sizes)), float(sizes.index(max(sizes)) == min(place, 32)), *here,
+            node.depth, place, family, place / family, math.log1p(mean), float(largest), *here,
             total[id(node.parent)][3] / (total[id(node.parent)][1] + 1) if node.parent else 0.0, float(main > other)]
         rows.append([*kind, main, other, len(node.names), *buckets, *mine, *rest])
     return rows

@@ -78,6 +78,19 @@ def test_odd_pages(spark, pages, model):
     assert html.block_texts(nodes, [True] * len(nodes)) == ["one", "two <b> three four"]
 
 
+def test_siblings_follow_one_rule_at_every_family_size():
+    """Place, number, mean size and 'is the first largest' of siblings, of the whole family whatever its size."""
+    at = html.N_FEATURES - 11
+    for n in (1, 5, 33, 34, 63, 64, 65, 200):
+        sizes = [10 + (7 * k) % 50 for k in range(n)]
+        sizes[n * 3 // 4] = 99
+        nodes = html.parse("<div>" + "".join(f"<p>{'x' * size}</p>" for size in sizes) + "</div>")
+        rows = [row[at:at + 5] for node, row in zip(nodes, html.features(nodes), strict=True) if node.tag == "p"]
+        assert [r[:3] for r in rows] == [[k, n, k / n] for k in range(n)]
+        assert all(abs(r[3] - np.log1p(sum(sizes) / n)) < 1e-9 for r in rows)
+        assert [r[4] for r in rows] == [float(k == n * 3 // 4) for k in range(n)]
+
+
 # 4: FLAC
 
 
