@@ -132,4 +132,4 @@ SELECT conv_id, turn, call_id, name, level, linked, CAST(len(errors) AS BIGINT)
 
 @query("op10_tool_calls", CALLS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.format_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ", "))
+    return toolcalls.format_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ", ")).drop("duplicate")

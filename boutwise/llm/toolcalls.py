@@ -72,36 +72,48 @@ def argument_errors(arguments: Column, parameters: Column) -> Column:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call: conv_id, turn, call_id, name, level, linked, n_errors, errors, json.
+    """One row per call: conv_id, turn, call_id, name, level, linked, n_errors, errors, duplicate, json.
 
-    calls: conv_id, turn, call_id, name, arguments (JSON text), after (array of call_ids). results: call_id, turn, content.
-    schemas: name, param, kind (a key of KINDS), required, least, most. Of several calls with one id the first by turn (then by name
-    and arguments) counts, of several results the first by turn (then content); calls without id are left out, results
-    without a call too. json has sorted keys and no blanks; NULLs are written.
-    """
-    def first_by(rows: DataFrame, *order: str) -> DataFrame:
-        """One row per call_id: the least by `order`, NULLs first."""
-        columns = [*order, *(c for c in rows.columns if c not in ("call_id", *order))]
-        return rows.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct(*columns)).alias("r")).select("call_id", "r.*")
+    calls: conv_id, turn, call_id, name, arguments (JSON text), after (array of call_ids). results: conv_id, call_id, turn, content.
+    schemas: name, param, kind (a key of KINDS), required, least, most. An id holds within its conversation; calls with NULL conv_id
+    count as one. Of several calls with one id the first by turn (then by name, arguments and after) is ordered and linked, the
+    others are marked as duplicate; of several results the first by turn (then content) counts. Duplicates and calls without id
+    have no level and no result. Results without a call are left out. json has sorted keys and no blanks; NULLs are written.
 
-    calls = stored(first_by(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after"), "turn", "name", "arguments"))
-    answers = first_by(results.select("call_id", "turn", "content"), "turn", "content").select("call_id", F.col("content"), F.lit(True).alias("answered"))
+    Where results have no conv_id, an id holds in the whole table: calls and results are linked across
+    conversations, and duplicates and calls without id are left out.
+    """
+    within = ["conv_id"] if "conv_id" in results.columns else []
+    key = F.struct(*within, "call_id").alias("key")  # equal where the same parts are NULL
+    calls = stored(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after", F.monotonically_increasing_id().alias("row")))
+    first = calls.filter("call_id IS NOT NULL").groupBy(key).agg(F.min(F.struct("turn", "name", "arguments", "after", "row")).alias("r"))
+    first = stored(first.select("key", "r.row", F.transform(F.array_compact("r.after"), lambda x: F.struct(*[F.col(f"key.{c}") for c in within], x.alias("call_id"))).alias("after")))
+    level = levels(first.select(F.col("key").alias("call_id"), "after")).withColumnRenamed("call_id", "key")
+    answers = results.filter("call_id IS NOT NULL").groupBy(key).agg(F.min(F.struct("turn", "content")).alias("r")).select("key", "r.content", F.lit(True).alias("answered"))
+    firsts = first.select("key", "row").join(level, "key", "left").join(answers, "key", "left").drop("key").withColumn("counted", F.lit(True))
     parameters = schemas.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(
         "param", F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("kind")).alias("kind"), "required",
         F.col("least").cast("double").alias("least"), F.col("most").cast("double").alias("most")))).alias("parameters"))
-    rows = calls.join(levels(calls), "call_id", "left").join(answers, "call_id", "left").join(parameters, "name", "left")
-    rows = rows.withColumns({"errors": argument_errors(F.col("arguments"), F.col("parameters")), "linked": F.coalesce("answered", F.lit(False))})
+    parameters = parameters.withColumnRenamed("name", "tool")
+    rows = calls.join(firsts, "row", "left").join(parameters, F.col("name").eqNullSafe(F.col("tool")), "left")
+    rows = rows.withColumns({
+        "errors": argument_errors(F.col("arguments"), F.col("parameters")), "linked": F.coalesce("answered", F.lit(False)),
+        "duplicate": F.col("call_id").isNotNull() & F.col("counted").isNull()})
+    if not within:
+        rows = rows.filter("counted")
     text = F.to_json(F.struct(
         F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null")).alias("arguments"), "conv_id", "errors", F.col("call_id").alias("id"), "level", "name",
         F.col("content").alias("result"), "turn", F.array_sort(F.array_distinct(F.array_compact("after"))).alias("waits_for")), {"ignoreNullFields": "false"})
-    return rows.select("conv_id", "turn", "call_id", "name", "level", "linked", F.size("errors").cast("long").alias("n_errors"), "errors", text.alias("json"))
+    return rows.select("conv_id", "turn", "call_id", "name", "level", "linked", F.size("errors").cast("long").alias("n_errors"), "errors", "duplicate", text.alias("json"))
 
 
-#: Three tools that the turns of a conversation are read as calls of: name, param, kind, required, least, most.
+#: Three tools that the turns of a conversation are read as calls of, and what is asked of turns whose place is unknown: name,
+#: param, kind, required, least, most.
 TOOLS = """VALUES
   ('search', 'query', 'string', true, 1D, 400D), ('search', 'limit', 'integer', true, 1D, 40D), ('search', 'exact', 'boolean', false, NULL, NULL),
   ('translate', 'text', 'string', true, 1D, NULL), ('translate', 'formal', 'boolean', true, NULL, NULL),
-  ('summarise', 'text', 'string', true, 100D, NULL), ('summarise', 'share', 'number', true, 0D, 0.75D)
+  ('summarise', 'text', 'string', true, 100D, NULL), ('summarise', 'share', 'number', true, 0D, 0.75D),
+  (NULL, 'text', 'string', true, NULL, NULL), (NULL, 'share', 'number', true, NULL, NULL)
   AS tools(name, param, kind, required, least, most)"""
 
 
@@ -109,21 +121,22 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read out of plain conversations (conv_id, turn, role, text).
 
     A user's turn is a call, of the tool its place picks, with arguments made from its text; it waits for the call at half its
-    turn (the even or odd turn below, as its own is). An assistant's turn is the result of the turn before it.
+    turn (the even or odd turn below, as its own is). An assistant's turn is the result of the turn before it. Turns of an unknown
+    conversation, or without number, are calls without id and tool: nothing can be linked to them.
     """
     conv = F.col("conv_id").cast("string")
     half = F.floor(F.col("turn") / 2)
     before = half - F.pmod(F.col("turn") - half, F.lit(2))
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
-    name = F.element_at(F.array(*(F.lit(t) for t in ("search", "translate", "summarise"))), (F.pmod(F.coalesce("conv_id", F.lit(0)) + F.floor(F.col("turn") / 2), F.lit(3)) + 1).cast("int"))
+    name = F.get(F.array(*(F.lit(t) for t in ("search", "translate", "summarise"))), F.pmod(F.col("conv_id") + F.floor(F.col("turn") / 2), F.lit(3)).cast("int"))
     arguments = F.when(name == "search", F.to_json(F.struct(words.alias("limit"), F.col("text").alias("query")), {"ignoreNullFields": "false"})).when(
         name == "translate", F.to_json(F.struct(F.col("text").alias("text"), (F.pmod("turn", F.lit(4)) < 2).alias("formal")), {"ignoreNullFields": "false"})).otherwise(
         F.to_json(F.struct((words / (words + 10.0)).alias("share"), F.col("text").alias("text")), {"ignoreNullFields": "false"}))
     calls = conversations.filter("role = 'user'").select(
-        "conv_id", "turn", F.concat_ws("-", conv, F.col("turn").cast("string")).alias("call_id"), name.alias("name"), arguments.alias("arguments"),
-        F.when((before >= 0) & (before < F.col("turn")), F.array(F.concat_ws("-", conv, before.cast("string")))).otherwise(F.array().cast("array<string>")).alias("after"))
+        "conv_id", "turn", F.concat(conv, F.lit("-"), F.col("turn").cast("string")).alias("call_id"), name.alias("name"), arguments.alias("arguments"),
+        F.when((before >= 0) & (before < F.col("turn")), F.array(F.concat(conv, F.lit("-"), before.cast("string")))).otherwise(F.array().cast("array<string>")).alias("after"))
     results = conversations.filter("role = 'assistant'").select(
-        F.concat_ws("-", conv, (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
+        "conv_id", F.concat(conv, F.lit("-"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

@@ -285,6 +285,40 @@ def test_odd_calls(spark):
     assert toolcalls.link_calls(calls, results.limit(0), schemas.limit(0)).filter("linked").count() == 0
 
 
+def test_calls_of_unknown_conversations_are_kept(spark, tmp_path):
+    """NULL conv_id and NULL turn: the query's rows are those of its SQL twin."""
+    import duckdb
+
+    rows = [(c, t, role, f"{role} says {'many words ' * 20}{t}") for c in (1, 12, None, None, None) for t in (0, 2, 12) for role in ("user",)]
+    rows += [(c, t, "assistant", f"answer {t}") for c in (1, 12, None, None) for t in (1, 3, 13)]
+    rows += [(12, None, "user", "no turn"), (12, None, "user", None), (12, None, "assistant", "x"), (None, None, "user", "neither"), (None, 4, "user", None)]
+    folder = tmp_path / "given"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    found = QUERIES["op10_tool_calls"](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    twin = con.sql(ORACLES["op10_tool_calls"])
+    got = [tuple(r) for r in found.select(*twin.columns).collect()]
+    assert len(got) == sum(r[2] == "user" for r in rows) and found.columns == list(twin.columns)
+    cut = [k for k, c in enumerate(twin.columns) if c != "json"]
+    assert sorted(([r[k] for k in cut] for r in got), key=repr) == sorted(([r[k] for k in cut] for r in twin.fetchall()), key=repr)
+
+
+def test_ids_hold_within_a_conversation(spark):
+    given = [(1, 1, "a", []), (1, 2, "b", ["a"]), (2, 5, "a", ["b"]), (2, 4, "b", []), (None, 1, "a", []), (None, 2, "b", ["a"]), (None, 7, "b", []),
+             (2, 6, "a", []), (2, 6, "a", []), (3, 1, None, []), (3, None, "a", ["a "]), (3, None, "b", [])]
+    calls = spark.createDataFrame([(c, t, i, "t", "{}", w) for c, t, i, w in given], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, "a", 2, "one"), (2, "a", 6, "two"), (None, "b", 3, "none"), (4, "a", 1, "nobody")], "conv_id long, call_id string, turn long, content string")
+    schemas = spark.sql("VALUES ('t', 'n', 'number', false, 0D, 10D) AS s(name, param, kind, required, least, most)")
+    found = toolcalls.link_calls(calls, results, schemas).collect()
+    got = sorted(((r.conv_id, r.turn, r.call_id, r.level, r.duplicate, json.loads(r.json)["result"]) for r in found), key=repr)
+    assert got == sorted([
+        (1, 1, "a", 0, False, "one"), (1, 2, "b", 1, False, None), (2, 5, "a", 1, False, "two"), (2, 4, "b", 0, False, None),
+        (None, 1, "a", 0, False, None), (None, 2, "b", 1, False, "none"), (None, 7, "b", None, True, None), (2, 6, "a", None, True, None),
+        (2, 6, "a", None, True, None), (3, 1, None, None, False, None), (3, None, "a", None, False, None), (3, None, "b", 0, False, None)], key=repr)
+    assert all(r.linked == (json.loads(r.json)["result"] is not None) and r.n_errors == 0 for r in found)
+
+
 # The pipeline
 
 
