@@ -212,3 +212,18 @@ def test_models_learn_and_report(spark):
 def test_dummy_names_are_clean_and_unique():
     names = learning.dummy_names({"c": ["a b", "a_b", "[x]"]})
     assert list(names.values()) == ["c_a_b", "c_a_b_1", "c_x", "c_nan"]
+
+
+def test_boosting_goes_on_while_the_validation_rows_improve(spark):
+    import math
+    import random
+
+    from boutwise.operators import learning
+
+    rng, rows = random.Random(5), []
+    for k in range(4000):
+        x, z = rng.random(), rng.random()
+        rows.append((k, x, z, int(rng.random() < 1 / (1 + math.exp(-12 * (x - z))))))
+    model = learning.fit(spark.createDataFrame(rows, "k long, x double, z double, y int").coalesce(1), ["x", "z"], "y", ["k"], "boosted").stages[-1]
+    assert 20 < model.getNumTrees < 500
+    assert (model.getMaxIter(), model.getMaxDepth(), model.getStepSize()) == (500, 6, 0.05)
