@@ -227,3 +227,19 @@ def test_boosting_goes_on_while_the_validation_rows_improve(spark):
     model = learning.fit(spark.createDataFrame(rows, "k long, x double, z double, y int").coalesce(1), ["x", "z"], "y", ["k"], "boosted").stages[-1]
     assert 20 < model.getNumTrees < 500
     assert (model.getMaxIter(), model.getMaxDepth(), model.getStepSize()) == (500, 6, 0.05)
+
+
+def test_prediction_job_compares_all_models_of_the_plan(spark, monkeypatch):
+    from boutwise.catalog import QUERIES
+    from boutwise.plans import train
+
+    class Seen(Exception):
+        pass
+
+    def see(*_, specs=None, **__):
+        raise Seen(sorted(specs or train.MODELS))
+
+    monkeypatch.setattr(train, "train", see)
+    with pytest.raises(Seen) as seen:
+        QUERIES["j04_predict_upcoming"](spark, "/root/testdata/sf0.001")
+    assert seen.value.args[0] == ["boosted", "logreg", "ridge"]
