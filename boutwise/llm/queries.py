@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutwise.llm import decontaminate, flac, html, language, lines, mixing, simhash, substrings, tokens, toolcalls
+from boutwise.llm import decontaminate, flac, html, language, lines, mixing, pieces, simhash, substrings, tokens, toolcalls
 from boutwise.llm.common import table
 
 QUERIES: dict = {}
@@ -133,3 +133,10 @@ SELECT conv_id, turn, call_id, name, level, linked, CAST(len(errors) AS BIGINT)
 @query("op10_tool_calls", CALLS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.format_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ", ")).drop("duplicate")
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
