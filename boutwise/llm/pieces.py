@@ -74,33 +74,33 @@ class Pieces:
         after_letters = {b for p in normal for a, b in zip(p, p[1:], strict=False) if re.match(LETTER, a)}
         alone = re.escape("".join(c for c in ascii_signs if c not in merged))
         ends = re.escape("".join(c for c in ascii_signs if c not in after_letters))
+        self.unknown = re.compile("[^ " + re.escape("".join(p for p in normal if len(p) == 1)) + "]").search
         self.segments = re.compile((f"[{alone}]|" if alone else "") + f" *{LETTER}++(?=[ {ends}]|\\Z)| *[^ {alone}]+| +").findall
-        self.remembered: dict[str, tuple[int, ...]] = {}
-        # The same pairs by number: every split of a piece into two symbols. Characters that are no piece get numbers of their own.
-        numbers = dict(normal)
-        for c in sorted(merged):
-            numbers.setdefault(c, len(self.names) + len(numbers))
+        self.forget()
+        self.raw_flat, self.raw_sizes = np.frombuffer(b"".join(self.raw), np.uint8), np.array(list(map(len, self.raw)))
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.leads = np.array([n.startswith(BLANK) and not k for n, k in zip(self.names, self.is_control, strict=True)])
+        # The same pairs by id: every split of a piece into two others. Segments with a character that is no piece go to `merge`.
         self.of_char = np.full(0x110000, -1, np.int64)
-        for symbol, number in numbers.items():
+        for symbol, k in normal.items():
             if len(symbol) == 1:
-                self.of_char[ord(symbol)] = number
+                self.of_char[ord(symbol)] = k
         self.of_char[32] = self.of_char[ord(BLANK)]
-        splits = sorted((numbers[p[:at]] << 32 | numbers[p[at:]], k, self.ranks[p]) for p, k in normal.items() for at in range(1, len(p))
-                        if p[:at] in numbers and p[at:] in numbers)
+        splits = sorted((normal[p[:at]] << 32 | normal[p[at:]], k, self.ranks[p]) for p, k in normal.items() for at in range(1, len(p))
+                        if p[:at] in normal and p[at:] in normal)
         self.pairs, self.pair_ids, self.pair_ranks = np.array([*splits, (NO_PAIR, -1, NO_RANK)], np.int64).T
 
     def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places in `pairs`; the last place where two symbols make no piece."""
         keys = left << 32 | right
         at = np.searchsorted(self.pairs, keys)
-        return np.where((self.pairs[at] == keys) & (left >= 0) & (right >= 0), at, len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, at, len(self.pairs) - 1)
 
-    def merge_all(self, segments: list[str]) -> list[tuple[int, ...]]:
-        """`merge` of many short segments at once: each round pops the top pair of every segment's agenda."""
+    def merge_all(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, how many each has): `merge` of many short segments at once; a round pops the top pair of each agenda."""
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         owner = np.repeat(np.arange(len(segments)), np.fromiter(map(len, segments), np.int64, len(segments)))
         symbols, last = self.of_char[codes], len(self.pairs) - 1
-        hard = np.unique(owner[symbols < 0])  # characters without a number
         pair = np.full(len(symbols), last)
         inner = np.flatnonzero(owner[:-1] == owner[1:])
         pair[inner] = self._found(symbols[inner], symbols[inner + 1])
@@ -122,35 +122,56 @@ class Pieces:
             pair[before[some]] = self._found(symbols[before[some]], symbols[at[some]])
             stays[at + 1] = False
             owner, symbols, pair = owner[stays], symbols[stays], pair[stays]
-        owner = np.concatenate(done_owner) if done_owner else owner
-        ids = np.concatenate(done)[np.argsort(owner, kind="stable")].tolist() if done else []
-        ends = np.cumsum(np.bincount(owner, minlength=len(segments))).tolist()
-        out = [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        unknown = np.unique(owner[np.concatenate(done) >= len(self.names)]).tolist() if done else []
-        for k in {*hard.tolist(), *unknown}:
-            out[k] = self.merge(segments[k])
-        return out
+        owner = np.concatenate([owner, *done_owner])
+        return np.concatenate([symbols, *done])[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(segments))
+
+    def forget(self) -> None:
+        self.codes: dict[str, int] = {}  # segment -> its place in `sizes` and `starts`
+        self.flat, self.sizes, self.starts = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def remember(self, segments: set[str]) -> None:
         """Find the ids of what is not remembered yet."""
-        new = segments - self.remembered.keys()
-        if len(self.remembered) + len(new) > REMEMBERED:
-            self.remembered, new = {}, segments
-        short = [s for s in new if len(s) <= SHORT]
-        self.remembered.update(zip(short, self.merge_all(short), strict=True))
-        self.remembered.update((s, self.merge(s)) for s in new if len(s) > SHORT)
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+        new = segments - self.codes.keys()
+        if len(self.codes) + len(new) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
+            self.forget()
+            new = segments
+        short = [s for s in new if len(s) <= SHORT and not self.unknown(s)]
+        rest = [s for s in new if len(s) > SHORT or self.unknown(s)]
+        ids, sizes = self.merge_all(short)
+        others = [self.merge(s) for s in rest]
+        self.codes.update(zip(chain(short, rest), range(len(self.sizes), len(self.sizes) + len(new)), strict=False))
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(others), np.int64)])
+        self.sizes = np.concatenate([self.sizes, sizes, np.fromiter(map(len, others), np.int64)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds): text k has the ids from bounds[k] to bounds[k + 1]."""
         cut = [self.segments(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
         distinct = set(chain.from_iterable(cut))
         self.remember(distinct)
-        of = self.remembered.__getitem__
-        ids = [list(chain.from_iterable(map(of, c))) for c in cut]
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(cut)), np.int64)
+        sizes = self.sizes[codes]
+        bounds = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, cut)])]
+        ids = ragged(self.flat, self.starts[codes], sizes)
         for segment in distinct:
             if len(segment) > SHORT:
-                del self.remembered[segment]
-        return ids
+                del self.codes[segment]
+        return ids, bounds
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """`decode` of each text's ids."""
+        sizes = self.raw_sizes[ids]
+        raw = ragged(self.raw_flat, self.raw_starts[ids], sizes).tobytes()
+        ends = np.r_[0, np.cumsum(sizes)][bounds].tolist()
+        out = []
+        for k, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+            try:
+                if a < b and self.is_control[ids[a]]:
+                    raise ValueError
+                out.append(raw[ends[k] + int(a < b and self.leads[ids[a]]):ends[k + 1]].decode())
+            except ValueError:  # also what is no UTF-8
+                out.append(self.decode(ids[a:b].tolist()))
+        return out
 
     def merge(self, segment: str) -> tuple[int, ...]:
         """The ids of one segment, by the agenda. An entry is the pair's rank above its left place."""
@@ -215,6 +236,12 @@ class Pieces:
         return "".join(out)
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start:start + size] of all, one behind the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
+
+
 def load(name: str) -> Pieces:
     """The vocabulary at `public_tokenizers.path(name)`, loaded once per worker."""
     if name not in _LOADED:
@@ -243,15 +270,16 @@ def _round_trip(name: str, window: int):
         for batch in slices(batches, "text"):
             parts = [windows(text or "", window) for text in batch.column("text").to_pylist()]
             flat = list(chain.from_iterable(parts))
-            ids = pieces.encode_all(flat)
-            decoded = list(map(pieces.decode, ids))
+            ids, bounds = pieces.encode_all(flat)
+            decoded = pieces.decode_all(ids, bounds)
             theirs = pieces.library.encode(flat, num_threads=1)
-            same = [a == b and c == d for a, b, c, d in zip(ids, theirs, decoded, pieces.library.decode(theirs, num_threads=1), strict=True)]
-            ends = np.cumsum([0, *map(len, parts)]).tolist()
-            spans = list(zip(ends, ends[1:], strict=False))
+            back = pieces.library.decode(theirs, num_threads=1)
+            same = [np.array_equal(ids[a:b], x) and y == z for a, b, x, y, z in zip(
+                bounds.tolist(), bounds[1:].tolist(), theirs, decoded, back, strict=False)]
+            ends = np.cumsum([0, *map(len, parts)])
+            spans = list(zip(ends.tolist(), ends[1:].tolist(), strict=False))
             texts, agrees = [" ".join(decoded[a:b]) for a, b in spans], [all(same[a:b]) for a, b in spans]
-            sizes = np.cumsum([0, *(sum(map(len, ids[a:b])) for a, b in spans)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.fromiter(chain.from_iterable(ids), np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(bounds[ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in batch.schema.names if c != "text"), lists, pa.array(texts, pa.string()), pa.array(agrees, pa.bool_())],
                 names=[*(c for c in batch.schema.names if c != "text"), "ids", "decoded", "agrees"])

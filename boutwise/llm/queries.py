@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutwise.llm import decontaminate, flac, html, language, lines, mixing, pieces, simhash, substrings, tokens, toolcalls
+from boutwise.llm import align, decontaminate, flac, html, language, lines, mixing, pieces, simhash, substrings, tokens, toolcalls
 from boutwise.llm.common import table
 
 QUERIES: dict = {}
@@ -135,6 +135,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.format_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ", ")).drop("duplicate")
 
 
+@query("op12_align_tokens")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(table(spark, sf_dir, "documents"))
+
+
 @query("op13_sentencepiece")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents")).select(

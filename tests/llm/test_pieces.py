@@ -22,21 +22,24 @@ def odd_texts(n, longest, seed):
 def test_ids_equal_the_library(vocabulary):
     texts = ["", " ", "  a", "a\nb\n", "▁x", "<s> a</s> <0x0A>", "<unk> x", "a ▁ b", *odd_texts(3000, 60, 1)]
     theirs = vocabulary.library.encode(texts, num_threads=1)
-    assert vocabulary.encode_all(texts) == theirs
-    assert [vocabulary.decode(x) for x in theirs] == vocabulary.library.decode(theirs, num_threads=1)
+    ids, bounds = vocabulary.encode_all(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == theirs
+    assert vocabulary.decode_all(ids, bounds) == [vocabulary.decode(x) for x in theirs] == vocabulary.library.decode(theirs, num_threads=1)
 
 
 def test_both_agendas_are_alike(vocabulary):
-    segments = [s for s in odd_texts(500, 40, 2) if s]
-    assert vocabulary.merge_all(segments) == [vocabulary.merge(s) for s in segments]
-    assert vocabulary.merge_all([]) == []
+    segments = [s for s in odd_texts(500, 40, 2) if s and not vocabulary.unknown(s)]
+    ids, sizes = vocabulary.merge_all(segments)
+    ends = sizes.cumsum()
+    assert len(segments) > 20 and [tuple(ids[e - n:e]) for e, n in zip(ends, sizes, strict=True)] == [vocabulary.merge(s) for s in segments]
+    assert len(vocabulary.merge_all([])[0]) == 0
 
 
 def test_windows_join_to_the_whole(vocabulary):
     for text in odd_texts(300, 80, 3):
         parts = pieces.windows(text, 7)
         assert " ".join(parts) == text
-        assert [k for ids in vocabulary.encode_all(parts) for k in ids] == vocabulary.library.encode(text)
+        assert vocabulary.encode_all(parts)[0].tolist() == vocabulary.library.encode(text)
 
 
 def test_any_ids_decode_as_in_the_library(vocabulary):
@@ -48,7 +51,7 @@ def test_any_ids_decode_as_in_the_library(vocabulary):
 
 @pytest.mark.parametrize("text", ["a" * 300_000, "the" * 100_000, " " * 300_000, "漢" * 100_000, "\n" * 300_000, "ab " * 500_000])
 def test_very_long_texts(vocabulary, text):
-    ids = [k for part in vocabulary.encode_all(pieces.windows(text)) for k in part]
+    ids = vocabulary.encode_all(pieces.windows(text))[0].tolist()
     assert ids == vocabulary.library.encode(text) and vocabulary.library.decode(ids) == text
 
 
@@ -56,7 +59,8 @@ def test_memory_of_segments_is_bounded(vocabulary, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 50)
     for k in range(20):
         vocabulary.encode_all([f"word{k} other{k}letters " + "long" * 30])
-    assert len(vocabulary.remembered) <= 50 and all(len(s) <= pieces.SHORT for s in vocabulary.remembered)
+    assert len(vocabulary.codes) <= 50 and all(len(s) <= pieces.SHORT for s in vocabulary.codes)
+    assert len(vocabulary.flat) <= 16 * 50 + 200
 
 
 def test_query_equals_the_library(spark, both, vocabulary):
