@@ -31,7 +31,7 @@ from boutwise.llm.common import slices, stored
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WINDOW = 1 << 20  # characters
-SLICE = 2 << 20  # bytes aligned at once
+SLICE = 1 << 20  # bytes aligned at once
 MOST_BROADCAST = 1 << 20  # pairs, of 17 bytes each
 COMMA, BAR, SEMICOLON, NOTHING = range(4)
 _CUT = re.compile(r"[!-~] ")
@@ -258,7 +258,7 @@ def align_tokens(docs: DataFrame, a: str = A, b: str = B, window: int = WINDOW,
 
     Texts that are NULL or empty, or whose tokens of either side do not join to a blank and the text, have no tokens: zeros
     and ''. Repeated rows count each, NULL ids stand for themselves, other columns are left out, an empty table gives none.
-    Ties for the highest count of a B id are all best. Memory is bounded by a slice of two megabytes or the longest run
+    Ties for the highest count of a B id are all best. Memory is bounded by a slice of one megabyte or the longest run
     without a blank behind a printable ASCII character, and by `most_broadcast` pairs.
     """
     docs = docs.select("doc_id", "text")

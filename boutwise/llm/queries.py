@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutwise.llm import align, decontaminate, flac, html, language, lines, mixing, pieces, simhash, substrings, tokens, toolcalls
+from boutwise.llm import align, decontaminate, flac, html, language, lines, mixing, pieces, search, simhash, substrings, tokens, toolcalls
 from boutwise.llm.common import table
 
 QUERIES: dict = {}
@@ -135,6 +135,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.format_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ", ")).drop("duplicate")
 
 
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+c AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+t AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, c GROUP BY term, docs),
+scores AS (SELECT item_id, row, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN weights USING (term), c GROUP BY item_id, row, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_align_tokens")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_tokens(table(spark, sf_dir, "documents"))
