@@ -184,6 +184,21 @@ PAGE_TEXT = (
     "|| '| 06.03. | | [W' || CAST(winner_id AS VARCHAR(9)) || '](/p) | 3 | 6 | 3 | 6 | 4 | 7 |' || chr(10) "
     "|| '| 07.03. | | [L' || CAST(loser_id AS VARCHAR(9)) || '](/p) | 2 | 4 | 6 | 3 | 6 | 5 |'")
 
+# The same bouts in tree form: rows with their own text, rows of cells, a winner without a loser, a row without sets.
+TREE_LINES = [
+    "'Draw'", "'[row] 02.03. 14:05 F W' || w || ' (' || CAST(match_num AS VARCHAR(9)) || ') [img] 2 6 3 7 1.44 2.75 info more'",
+    "'  [row]  L' || l || '   1 4 6 6 ' || t || ' Click for match highlights now'", "'[note] 1 2 3'",
+    "'[row]'", "'[cell] 03.03.'", "'[cell] 09:30'", "'[cell] qf'", "'[cell] W' || w", "'[cell] 2'", "'[cell] 7'", "'[cell] 6'", "'[cell] ' || t",
+    "'[row]'", "'[cell] L' || l", "'[cell] 0'", "'[cell] 6'", "'[cell] 3'",
+    "'[row] 04.03. 10:00 SF Alone 2 6 6'", "'[row] 05.03. 11:00 R16 W' || w || ' 2 6 6'", "'[row] L' || l || ' (3) 0 2 ' || t",
+    "'[row] 06.03. 11:00 2R Noscore x y'", "'[row] L 1 2'"]
+TREE_TEXT = " || chr(10) || ".join(TREE_LINES).replace("|| w", "|| CAST(winner_id AS VARCHAR(9))").replace(
+    "|| l", "|| CAST(loser_id AS VARCHAR(9))").replace("|| t", "|| CAST(tourney_id % 6 AS VARCHAR(9))")
+TREE_SQL = """
+UNION ALL SELECT match_key || '-tree', 1, 'F', '6-4 3-6 7-6(' || (tourney_id % 6) || ')', 'W' || winner_id, 'L' || loser_id, CAST(match_num AS VARCHAR), '' FROM d
+UNION ALL SELECT match_key || '-tree', 4, 'QF', '7-6(' || (tourney_id % 6) || ') 6-3', 'W' || winner_id, 'L' || loser_id, '', '' FROM d
+UNION ALL SELECT match_key || '-tree', 19, CASE WHEN f / 8 >= 16 THEN 'R16' WHEN f / 8 >= 8 THEN 'QF' WHEN f / 8 >= 4 THEN 'SF' ELSE 'F' END, '6-2 6-' || (tourney_id % 6), 'W' || winner_id, 'L' || loser_id, '', '3' FROM r"""
+
 
 @query("a16_extract_page_rows", twin(["bouts"], """, d AS (SELECT match_key, CAST(16 + tourney_id % 90 AS INT) AS dr, tourney_id, match_num, winner_id, loser_id FROM bouts),
 r AS (SELECT *, CASE WHEN dr > 64 THEN 128 WHEN dr > 32 THEN 64 WHEN dr > 16 THEN 32 ELSE 16 END AS f FROM d),
@@ -194,8 +209,8 @@ SELECT match_key, 3 AS line_no, CASE WHEN match_num = 1 THEN 'QF' ELSE h1 END AS
  'W' || winner_id AS winner_name, 'L' || loser_id AS loser_name, CAST(match_num AS VARCHAR) AS winner_seed, '' AS loser_seed FROM hd
 UNION ALL SELECT match_key, 7, CASE WHEN match_num = 2 THEN 'F' WHEN match_num = 1 THEN 'QF' ELSE h1 END,
  '7-6(' || (tourney_id % 6) || ') 6-2', 'W' || winner_id, 'L' || loser_id, '12', '' FROM hd
-UNION ALL SELECT match_key, 11, CASE WHEN match_num = 2 THEN 'F' WHEN match_num = 1 THEN 'QF' ELSE h1 END, '6-4 3-6 6-3 4-6 7-5', 'W' || winner_id, 'L' || loser_id, '', '' FROM hd"""))
+UNION ALL SELECT match_key, 11, CASE WHEN match_num = 2 THEN 'F' WHEN match_num = 1 THEN 'QF' ELSE h1 END, '6-4 3-6 6-3 4-6 7-5', 'W' || winner_id, 'L' || loser_id, '', '' FROM hd""" + TREE_SQL))
 def extract_page_rows(spark, folder):
-    rows = views.bouts(spark, folder).select(
-        "match_key", F.expr(PAGE_TEXT).alias("text"), F.expr("CAST(16 + tourney_id % 90 AS INT)").alias("draw"))
-    return pages.match_records(rows, "match_key", "text", F.col("draw"))
+    forms = F.array(*[F.struct(F.concat("match_key", F.lit(end)).alias("match_key"), F.expr(text).alias("text")) for end, text in (("", PAGE_TEXT), ("-tree", TREE_TEXT))])
+    rows = views.bouts(spark, folder).select(F.expr("CAST(16 + tourney_id % 90 AS INT)").alias("draw"), F.explode(forms).alias("page"))
+    return pages.page_records(rows.select("draw", "page.*"), "match_key", "text", F.col("draw"))

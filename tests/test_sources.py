@@ -130,3 +130,36 @@ def test_merging_a_batch_twice_changes_nothing(spark, tmp_path, times):
     for _ in range(times):
         streams.merge_batch(batch, str(tmp_path / "t"), ["snapshot_id"])
     assert streams.read_odds_table(spark, str(tmp_path / "t")).count() == 10
+
+
+def tree(spark, *lines, draw=32):
+    rows = spark.createDataFrame([("p", "\n".join(lines), draw)], "page string, text string, draw int")
+    return [(r["round"], r.winner_name, r.winner_seed, r.loser_name, r.loser_seed, r.score) for r in pages.tree_records(
+        rows, "page", "text", F.col("draw")).orderBy("line_no").collect()]
+
+
+def test_tree_pages(spark):
+    won, lost = "[row] 02.03. 14:05 SF Ann B. (2) 2 6 7", "[row] Cid D. 0 3 6 5"
+    assert tree(spark, won, lost) == [("SF", "Ann B.", "2", "Cid D.", "", "6-3 7-6(5)")]
+    assert tree(spark, won, "text 1 2", "", lost) == [("SF", "Ann B.", "2", "Cid D.", "", "6-3 7-6(5)")]
+    assert tree(spark, won, "[row]", "[cell] Cid D.", "[cell] 0", "x", "[cell] 3", "[cell] 6") == [("SF", "Ann B.", "2", "Cid D.", "", "6-3 7-6")]
+    # The loser's left-over numbers come before the winner's.
+    assert tree(spark, "[row] 02.03. 14:05 F A 2 7 7 9", "[row] B 0 6 6 4")[0][-1] == "7-6(4) 7-6(9)"
+    assert tree(spark, "[row] 02.03. 14:05 F A 2 6 6 1.50 2.60", "[row] B 0 1 2 info 7")[0][-1] == "6-1 6-2"
+
+
+def test_tree_pages_without_a_record(spark):
+    won = "[row] 02.03. 14:05 SF Ann B. 2 6 7"
+    assert tree(spark, won) == []
+    assert tree(spark, won, won) == []
+    assert tree(spark, won, "[row] Cid 9 9") == []  # no count of sets
+    assert tree(spark, won, "[row] 0 3 6") == [("SF", "Ann B.", "", "0", "", "6-6")]  # the first token is always the name's
+    assert tree(spark, won, "[row] Cid 0") == []  # no games
+    assert tree(spark, "[row] 2.3. 14:05 SF Ann 2 6 6", "[row] Cid 0 1 1") == []
+    assert tree(spark, "[row]", "[row]  ") == []
+    assert tree(spark, won, "[row] Cid 0 12345678901234567890 6") == [("SF", "Ann B.", "", "Cid", "", "7-6")]  # no such number
+
+
+def test_pages_of_both_forms_and_nulls(spark):
+    rows = spark.createDataFrame([("a", "| [X](/p) | 2 | 6 | 6 |\n| [Y](/p) | 0 | 1 | 2 |", 32), ("b", None, 32), ("c", "", None)], "page string, text string, draw int")
+    assert [(r.page, r.score) for r in pages.page_records(rows, "page", "text", F.col("draw")).collect()] == [("a", "6-1 6-2")]
