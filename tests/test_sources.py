@@ -86,25 +86,81 @@ def feed(spark, path, batches):
     return files.withColumn("match_date", F.to_date("captured_at"))
 
 
-def test_movement_stream_equals_batch(spark, tmp_path):
+MOVES = ["snapshot_id", "prev_captured_at", "odds_p1_delta", "odds_p2_pct", "hours_since_previous", "market_move"]
+
+
+def in_order(df, names):
+    return [tuple(r) for r in df.select(*names).orderBy("snapshot_id").collect()]
+
+
+@pytest.mark.parametrize("options", [{}, {"compact_every": 1}, {"segment_rows": 5}])
+def test_movement_stream_equals_batch(spark, tmp_path, options):
     rows = snapshots()
-    stream = feed(spark, tmp_path / "in", [rows[:25], rows[25:26], rows[26:]])
-    streams.stream_odds_movement(stream).writeStream.format("memory").queryName("moves").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    names = ["snapshot_id", "prev_captured_at", "odds_p1_delta", "odds_p2_pct", "hours_since_previous", "market_move"]
+    stream = feed(spark, tmp_path / "in", [rows[:25], rows[25:26], rows[26:40], rows[40:]])
+    streams.stream_odds_movement(stream, str(tmp_path / "out"), str(tmp_path / "cp"), **options).trigger(availableNow=True).start().awaitTermination()
     batch = marketplace.odds_movement(spark.createDataFrame(rows, SNAP), ["match_id"], "captured_at")
-    key = lambda r: r["snapshot_id"]
-    got, want = sorted(spark.table("moves").select(*names).collect(), key=key), sorted(batch.select(*names).collect(), key=key)
-    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert in_order(streams.read_movements(spark, str(tmp_path / "out")), MOVES) == in_order(batch, MOVES)
 
 
 def test_movement_stream_late_rows_have_no_predecessor(spark, tmp_path):
-    rows = snapshots(8)
-    stream = feed(spark, tmp_path / "in", [rows[4:], rows[:4]])
-    streams.stream_odds_movement(stream).writeStream.format("memory").queryName("late").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    moves = {r["snapshot_id"]: r["market_move"] for r in spark.table("late").collect()}
-    assert set(moves.values()) == {"no_prior_snapshot"} and len(moves) == 8
+    rows = snapshots(12)
+    stream = feed(spark, tmp_path / "in", [rows[4:8], rows[:4], rows[8:]])
+    streams.stream_odds_movement(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    found = {r["snapshot_id"]: r for r in streams.read_movements(spark, str(tmp_path / "out")).collect()}
+    assert len(found) == 12 and all(found[k].market_move == "no_prior_snapshot" for k in range(8))
+    # Late rows leave the state alone: the next ones follow those of the first batch.
+    assert [found[k].prev_captured_at for k in range(8, 12)] == [rows[k - 4][2] for k in range(8, 12)]
+
+
+def test_movement_batches_run_again_after_a_failure(spark, tmp_path):
+    rows, table = snapshots(24), str(tmp_path / "t")
+    parts = [spark.createDataFrame(rows[k:k + 8], SNAP) for k in (0, 8, 16)]
+    key = F.col("match_id").cast("string")
+    for number, part in enumerate(parts):
+        for _ in range(2):
+            streams.movement_batch(part, number, table, key, compact_every=2)
+    streams.movement_batch(parts[2], 2, table, key, compact_every=2)
+    batch = marketplace.odds_movement(spark.createDataFrame(rows, SNAP), ["match_id"], "captured_at")
+    assert in_order(streams.read_movements(spark, table), MOVES) == in_order(batch, MOVES)
+    assert sorted(p.name for p in (tmp_path / "t" / "last").iterdir()) == ["base-2", "batch-2"]
+
+
+def test_movement_of_odd_rows(spark, tmp_path):
+    """NULL times, NULL keys and equal instants, in a batch and across batches."""
+    at = dt.datetime(2024, 1, 1)
+    first = [(1, 7, at, 2.0, 2.0), (2, 7, at, 2.1, 2.0), (3, None, at, 2.0, 2.0), (4, 7, None, 2.0, 2.0)]
+    second = [(5, 7, at, 3.0, 2.0), (6, 7, at + dt.timedelta(hours=1), 2.2, None), (7, None, at + dt.timedelta(hours=1), 2.5, 2.0)]
+    for number, rows in enumerate((first, second, [])):
+        streams.movement_batch(spark.createDataFrame(rows, SNAP), number, str(tmp_path / "t"), F.coalesce(F.col("match_id").cast("string"), F.lit("")))
+    found = {r["snapshot_id"]: r.prev_odds_p1 for r in streams.read_movements(spark, str(tmp_path / "t")).collect()}
+    assert found == {1: None, 2: 2.0, 3: None, 4: None, 5: None, 6: 2.1, 7: 2.0}
+
+
+def test_a_key_that_moves_to_another_day(spark, tmp_path):
+    table, day = str(tmp_path / "t"), dt.date(2024, 1, 1)
+    at = dt.datetime(2023, 12, 31, 12)
+    schema = SNAP + ", match_date date"
+
+    def merge(*rows):
+        streams.merge_batch(spark.createDataFrame([(s, m, at, p, 2.0, d) for s, m, p, d in rows], schema), table, ["snapshot_id"])
+        return sorted((r.match_id, r.odds_p1, r.match_date.day, r.is_current) for r in streams.read_odds_table(spark, table).collect())
+
+    later = day + dt.timedelta(days=1)
+    assert merge((1, 1, 1.5, day), (2, 2, 1.6, day)) == [(1, 1.5, 1, True), (2, 1.6, 1, True)]
+    assert merge((3, 1, 1.7, later)) == [(1, 1.7, 2, True), (2, 1.6, 1, False)]
+    assert merge((4, 2, 1.8, later), (5, 3, 1.9, day)) == [(1, 1.7, 2, False), (2, 1.8, 2, True), (3, 1.9, 1, True)]
+    # A day left without rows goes, and the locator follows a key back.
+    assert merge((6, 3, 2.0, later)) == [(1, 1.7, 2, False), (2, 1.8, 2, False), (3, 2.0, 2, True)]
+    assert merge((7, 3, 2.1, day)) == [(1, 1.7, 2, False), (2, 1.8, 2, False), (3, 2.1, 1, True)]
+
+
+def test_a_table_without_locator_gets_one(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = spark.createDataFrame(snapshots(6), SNAP).withColumn("match_date", F.to_date("captured_at"))
+    rows.write.partitionBy("match_date").parquet(f"{table}/rows")
+    moved = rows.filter("snapshot_id = 2").withColumn("match_date", F.date_add("match_date", 9))
+    streams.merge_batch(moved, table, ["snapshot_id"])
+    assert streams.read_odds_table(spark, table).filter("snapshot_id = 2").count() == 1 and streams.read_odds_table(spark, table).count() == 6
 
 
 def test_upsert_stream(spark, tmp_path):
