@@ -22,11 +22,13 @@ def inputs(spark, folder):
     return views.bouts(spark, folder).withColumn("level", F.when(F.col("tourney_id") % 11 != 0, F.col("level_code")))
 
 
-@query("h01_prepare_features", twin(["bouts"], f""", md AS (SELECT median(w_svpt) AS a, median(w_stat) AS b, median(l_stat) AS c, median(w_stat2) AS d FROM bouts WHERE {CUT})
-SELECT match_key, {r6('coalesce(w_svpt, a)')} AS w_svpt, {r6('coalesce(w_stat, b)')} AS w_stat, {r6('coalesce(l_stat, c)')} AS l_stat, {r6('coalesce(w_stat2, d)')} AS w_stat2,
+@query("h01_prepare_features", twin(["bouts"], f""", md AS (SELECT median(CASE WHEN match_num % 13 NOT IN (1, 5, 7) THEN w_svpt END) AS a, median(w_stat) AS b, median(l_stat) AS c, median(w_stat2) AS d FROM bouts WHERE {CUT})
+SELECT match_key, {r6('coalesce(CASE WHEN match_num % 13 NOT IN (1, 5, 7) THEN w_svpt END, a)')} AS w_svpt, {r6('coalesce(w_stat, b)')} AS w_stat, {r6('coalesce(l_stat, c)')} AS l_stat, {r6('coalesce(w_stat2, d)')} AS w_stat2,
  surface, CASE WHEN tourney_id % 11 <> 0 THEN level_code ELSE 'Unknown' END AS level FROM bouts, md"""))
 def prepare_features(spark, folder):
-    rows = inputs(spark, folder)
+    """One input comes as text in which some numbers are missing by the words that files use for it."""
+    words = F.element_at(F.create_map(F.lit(1), F.lit("nan"), F.lit(5), F.lit(" NaN "), F.lit(7), F.lit("-Infinity")), (F.col("match_num") % 13).cast("int"))
+    rows = inputs(spark, folder).withColumn("w_svpt", F.coalesce(words, F.col("w_svpt").cast("string")))
     medians = learning.train_medians(rows.filter(CUT), NUMERIC)
     return reals(learning.prepare_features(rows, NUMERIC, CATS, medians), *NUMERIC).select("match_key", *NUMERIC, *CATS)
 

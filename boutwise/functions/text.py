@@ -48,7 +48,9 @@ def joined_key(*parts: Column) -> Column:
 
 
 def as_double(c: Column) -> Column:
-    return F.trim(c.cast("string")).try_cast("double")
+    """A finite number; NULL for text that is none, for NaN and for infinities."""
+    number = F.trim(c.cast("string")).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
 
 
 def as_long(c: Column) -> Column:

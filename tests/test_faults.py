@@ -151,3 +151,46 @@ def test_near_names_of_any_number_of_edits(spark):
             if r.stage in ("near", "open"):
                 assert (r.stage == "near") == (best >= threshold - 1e-9) and (r.stage == "open" or r.score == pytest.approx(best))
         assert got["Alexandrine Papadopolou Smitt"].score == pytest.approx(90.0)
+
+
+def test_words_for_missing_numbers(spark):
+    from boutwise.operators import learning
+
+    df = spark.createDataFrame([(x,) for x in ["1", "2", "nan", "NaN", " 4 ", "inf", "-Infinity", "", None, "x"]], "v string")
+    medians = learning.train_medians(df, ["v"])
+    assert medians == {"v": 2.0}
+    assert sorted(r.v for r in learning.prepare_features(df, ["v"], [], medians).collect()) == [1.0, *[2.0] * 8, 4.0]
+    real = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (3.0,)], "v double")
+    assert learning.train_medians(real, ["v"]) == {"v": 2.0}
+
+
+@pytest.mark.parametrize("extra", [[float("inf")], [float("-inf"), float("inf"), float("nan")], [1.7e308, -1.7e308], [5e-324, -5e-324, 0.0]])
+def test_quantiles_of_any_range(spark, extra):
+    import math
+
+    from boutwise.operators import quantiles
+
+    values = [*map(float, range(100)), *extra, *(10.0 ** -k for k in range(1, 300, 7)), *(-10.0 ** k for k in range(1, 300, 9))]
+    ordered = sorted(values, key=lambda v: (math.isnan(v), v))
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ranks = [1, len(values) // 2, len(values)]
+    got = {r.r: r.v for r in quantiles.ranked_values(df, [], "v", [F.lit(k) for k in ranks], buckets=8, small=4).collect()}
+    assert [str(got[i]) for i in range(3)] == [str(ordered[k - 1]) for k in ranks]
+
+
+def test_a_player_listed_twice_gives_one_row(spark):
+    from boutwise.operators import features
+
+    rows = spark.createDataFrame([("atp", "p", dt.date(2020, 1, 1), "t", 1, None, "USA")],
+                                 "tour string, player_id string, match_date date, tourney_id string, match_num int, row_ioc string, host_country string")
+    players = spark.createDataFrame([("p", "ARG"), ("p", "USA"), ("p", None), (None, "X")], "player_id string, ioc string")
+    assert [(r.ioc, r.is_home) for r in features.attach_countries(rows, players).collect()] == [("USA", 1)]
+
+
+def test_audit_sees_days_that_run_backwards(spark):
+    from boutwise.operators import evaluation
+
+    df = spark.createDataFrame([(1, 0, 1, 0.5, 3), (1, 0, 1, None, None), (0, 0, 0, 0.0, -1)], "h2h_p1_wins int, h2h_p2_wins int, h2h_total int, rate double, days int")
+    audit = evaluation.leakage_audit(df, ["rate"], ["days"]).first()
+    assert not audit.days_non_negative and audit.rates_in_bounds and audit.h2h_consistent
+    assert evaluation.leakage_audit(df.filter("days >= 0"), ["rate"], ["days"]).first().days_non_negative
