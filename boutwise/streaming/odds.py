@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from boutwise.functions.market import movement_class
 from boutwise.operators.history import History, PrefixLast
 from boutwise.operators.keyed import latest_per_key
-from boutwise.session import materialize
+from boutwise.session import delete_folder, folder_names, materialize
 from boutwise.sources.merge import mark_current, upsert
 
 KEYS = ["match_id", "captured_at"]
@@ -17,25 +17,9 @@ BUCKETS = 64  # of the locator
 COMPACT_EVERY = 20  # micro-batches
 
 
-def _place(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or None where nothing is there; any other fault is raised."""
-    system, place = _place(spark, path)
-    return spark.read.parquet(path) if system.exists(place) else None
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    system, place = _place(spark, path)
-    return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    system, place = _place(spark, path)
-    system.delete(place, True)
+    return spark.read.parquet(path) if folder_names(spark, path) else None
 
 
 def _bucket(rows: DataFrame) -> DataFrame:
@@ -78,7 +62,7 @@ def merge_batch(batch: DataFrame, table: str, order: list[str]) -> None:
     rows.parquet(f"{table}/rows")
     if stored is not None:
         for day in emptied:
-            _delete(spark, f"{table}/rows/match_date={day}")
+            delete_folder(spark, f"{table}/rows/match_date={day}")
     located.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{table}/where")
     batch.select(*KEYS).write.mode("overwrite").parquet(f"{table}/current")
 
@@ -96,8 +80,8 @@ def stream_odds_upsert(snapshots: DataFrame, table: str, checkpoint: str, order:
 
 def _state_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
     """The last snapshots written before this micro-batch: the newest base, and what came after it."""
-    names = _names(spark, f"{table}/last")
-    bases = [n for n in (int(x[5:]) for x in names if x.startswith("base-")) if n <= batch_id and "_SUCCESS" in _names(spark, f"{table}/last/base-{n}")]
+    names = folder_names(spark, f"{table}/last")
+    bases = [n for n in (int(x[5:]) for x in names if x.startswith("base-")) if n <= batch_id and "_SUCCESS" in folder_names(spark, f"{table}/last/base-{n}")]
     base = max(bases, default=None)
     parts = [f"base-{base}"] if base is not None else []
     parts += [x for x in names if x.startswith("batch-") and (base or 0) <= int(x[6:]) < batch_id]
@@ -122,11 +106,11 @@ def movement_batch(batch: DataFrame, batch_id: int, table: str, key: Column, com
     snapshot = F.struct("captured_at", "snapshot_id", "odds_p1", "odds_p2")
     rows = materialize(batch.withColumns({"_key": key, "_snapshot": snapshot}))
     before = _state_before(spark, table, batch_id)
-    if before is not None and batch_id and batch_id % compact_every == 0 and f"base-{batch_id}" not in _names(spark, f"{table}/last"):
+    if before is not None and batch_id and batch_id % compact_every == 0 and f"base-{batch_id}" not in folder_names(spark, f"{table}/last"):
         _newest(before).write.mode("overwrite").parquet(f"{table}/last/base-{batch_id}")
-        for name in _names(spark, f"{table}/last"):
+        for name in folder_names(spark, f"{table}/last"):
             if int(name.rsplit("-", 1)[1]) < batch_id:
-                _delete(spark, f"{table}/last/{name}")
+                delete_folder(spark, f"{table}/last/{name}")
         before = _state_before(spark, table, batch_id)
     if before is None:
         known = rows.withColumn("_known", F.lit(None).cast(rows.schema["_snapshot"].dataType))
