@@ -7,7 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from boutwise.llm import align, bytebpe, queries
+from boutwise.llm import align, bytebpe, queries, tokens
 
 SPACE = "▁"
 
@@ -120,3 +120,13 @@ def test_very_long_texts(libraries, text):
     both = align.tables(align.A, align.B)
     found = [x for part in align.windows(text, 1 << 18) for x in both.align([part])]
     assert sum(x[0] for x in found) == len(ids) and sum(x[1] for x in found) == len(libraries[1].encode(text))
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 1_200_000 + "b", "b" + "\n" * 1_200_000, "a" * 1_200_000, "x <|endoftext|>" + "\t" * 300_000 + "<|endoftext|> y"])
+def test_token_counts_of_long_runs(spark, libraries, text):
+    a = libraries[0]
+    a.encode_special_tokens = False
+    wanted = len(a.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+    a.encode_special_tokens = True
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs).collect()}[1] == wanted
