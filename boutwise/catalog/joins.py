@@ -220,6 +220,35 @@ def resolve_entities(spark, folder):
     return out.select("raw", F.lower("entity_name").alias("entity_name"), "entity_id", real("score").alias("score"), "stage")
 
 
+# Names with their words swapped, one dropped or one added, some with a wrong letter as well, and names of nobody.
+THIRD = f"translate(lpad(CAST((c_custkey * 31) % 997 AS VARCHAR(9)), 3, '0'), {LETTERS})"
+MIXED_NAME = ("CASE c_custkey % 6 WHEN 0 THEN l || ' ' || f WHEN 1 THEN l || ', ' || m || ' ' || f WHEN 2 THEN upper(l) || ' ' || f || ' ' || m || ' jr' "
+              "WHEN 3 THEN l || ' ' || m || ' z' || substr(f, 2) WHEN 4 THEN m || ' ' || reverse(l) ELSE l || ' z' || substr(m, 2) || ' ' || f END")
+SIMILAR = "100.0 * (1.0 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1))"
+
+
+@query("c11_resolve_any_order", f"""WITH pool AS (SELECT c_custkey AS id, {FIRST_SQL} || ' ' || {THIRD} || ' ' || {LAST_SQL} AS norm FROM customer),
+rw AS (SELECT DISTINCT {MIXED_NAME} AS raw FROM (SELECT c_custkey, {FIRST_SQL} AS f, {LAST_SQL} AS l, {THIRD} AS m FROM customer)),
+nm AS (SELECT raw, trim(regexp_replace(translate(lower(raw), '.-', '  '), '\\s+', ' ', 'g')) AS norm FROM rw),
+bn AS (SELECT norm, min(id) AS id FROM pool GROUP BY 1),
+wa AS (SELECT raw, norm, list_sort(string_split(trim(regexp_replace(norm, '[,\\s]+', ' ', 'g')), ' ')) AS a FROM nm), wb AS (SELECT id, norm, list_sort(string_split(norm, ' ')) AS b FROM bn),
+sd AS (SELECT raw, norm, a, array_to_string(a, ' ') AS ta, list_sort(list_distinct(a)) AS da FROM wa), se AS (SELECT id, norm AS other, b, array_to_string(b, ' ') AS tb, list_sort(list_distinct(b)) AS db FROM wb),
+cm AS (SELECT raw, norm, id, other, ta, tb, da, db, list_filter(da, lambda x: list_contains(db, x)) AS c FROM sd, se),
+jn AS (SELECT *, array_to_string(c, ' ') AS tc, array_to_string(c || list_filter(da, lambda x: NOT list_contains(c, x)), ' ') AS t1, array_to_string(c || list_filter(db, lambda x: NOT list_contains(c, x)), ' ') AS t2 FROM cm),
+sc AS (SELECT raw, id, other, {SIMILAR.format("norm", "other")} AS near,
+  0.95 * greatest({SIMILAR.format("ta", "tb")}, CASE WHEN len(c) >= 2 THEN greatest({SIMILAR.format("tc", "t1")}, {SIMILAR.format("tc", "t2")}, {SIMILAR.format("t1", "t2")}) ELSE 0.0 END) AS free FROM jn),
+b1 AS (SELECT * FROM (SELECT raw, id, other, near AS score, row_number() OVER (PARTITION BY raw ORDER BY near DESC, id) AS rn FROM sc WHERE near >= 85) WHERE rn = 1),
+b2 AS (SELECT * FROM (SELECT raw, id, other, free AS score, row_number() OVER (PARTITION BY raw ORDER BY free DESC, id) AS rn FROM sc WHERE free >= 85 - 1e-9) WHERE rn = 1)
+SELECT nm.raw, coalesce(b1.other, b2.other, nm.raw) AS entity_name, CAST(coalesce(b1.id, b2.id) AS BIGINT) AS entity_id, round(CAST(coalesce(b1.score, b2.score, 0.0) AS DOUBLE) + 1e-9, 6) AS score,
+ CASE WHEN b1.id IS NOT NULL THEN 'near' WHEN b2.id IS NOT NULL THEN 'any order' ELSE 'open' END AS stage FROM nm LEFT JOIN b1 ON b1.raw = nm.raw LEFT JOIN b2 ON b2.raw = nm.raw""")
+def resolve_any_order(spark, folder):
+    """Names whose words stand in another order, or of which a word is missing, added or misspelt."""
+    people = views.table(spark, folder, "customer").selectExpr("c_custkey", f"{FIRST_SQL} AS f", f"{LAST_SQL} AS l", f"{THIRD} AS m")
+    pool = people.selectExpr("c_custkey AS entity_id", "f || ' ' || m AS first_name", "l AS last_name")
+    out = resolve.resolve_names(people.select(F.expr(MIXED_NAME).alias("raw")), "raw", pool, any_order=True)
+    return out.select("raw", "entity_name", "entity_id", real("score").alias("score"), "stage")
+
+
 @query("c12_refresh_targets", """WITH ex AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0),
 tg AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders)
 SELECT o_orderkey, tg.o_custkey, day FROM tg LEFT JOIN ex ON ex.o_custkey = tg.o_custkey WHERE (day IS NULL OR day <= DATE '1998-06-01')

@@ -1,4 +1,4 @@
-"""Names from outside to known entities: override, exact, last name with initial, near spelling."""
+"""Names from outside to known entities: override, exact, last name with initial, near spelling, words in any order."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ LEAST_THRESHOLD = 60.0  # below, a short name may change all its letters
 EPS = 1e-9
 LAST_INITIAL = r"^(.+?)\s+([A-Za-z])\.?$"
 INITIAL_LAST = r"^([A-Za-z])\.?\s+(.+)$"
+ORDER_SHARE = 0.95  # what a likeness counts that takes no notice of the order of words
+LEAST_COMMON = 2  # words that two names must share before further words of either are passed over
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -72,8 +74,60 @@ def _possible_parts(name: Column, share: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
+def _words(norm: Column) -> Column:
+    """Words of a normalised name, sorted; a comma ends a word."""
+    return F.array_sort(F.split(F.trim(F.regexp_replace(norm, r"[,\s]+", " ")), " "))
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(words, " ")
+
+
+def any_order_score(a: Column, b: Column) -> Column:
+    """Likeness of two normalised names, the order of their words left out, in percent and at most 95.
+
+    The larger of two: the similarity of both names with their words sorted; and, for names with at least two different words in
+    common, the best similarity among the common words alone and the common words followed by what only one name has.
+    A name whose words are all in the other one is as like as can be.
+    """
+    mine, theirs = F.array_distinct(_words(a)), F.array_distinct(_words(b))
+    common = F.array_intersect(mine, theirs)
+    both = _joined(common)
+    first, second = (_joined(F.concat(common, F.array_except(x, common))) for x in (mine, theirs))
+    shared = F.when(F.size(common) >= LEAST_COMMON, F.greatest(similarity(both, first), similarity(both, second), similarity(first, second)))
+    return ORDER_SHARE * F.greatest(similarity(_joined(_words(a)), _joined(_words(b))), F.coalesce(shared, F.lit(0.0)))
+
+
+def _word_pairs(norm: Column) -> Column:
+    """Keys of a name: every two of its different words."""
+    words = F.array_distinct(_words(norm))
+
+    def with_later(word: Column, i: Column) -> Column:
+        return F.transform(F.slice(words, i + 2, F.size(words)), lambda other: F.concat_ws(" ", word, other))
+
+    return F.flatten(F.transform(words, with_later))
+
+
+def names_in_any_order(open_names: DataFrame, name: str, by_name: DataFrame, threshold: float) -> DataFrame:
+    """Per open name that some known name is like in other order: `_b`, the best one (`_hit`, `_s`); a tie goes to the least entity id.
+
+    Two names at or above the threshold have nearly the same sorted text, and then a part of it, or they have two words in common.
+    Candidates come from equi-joins on those parts and on pairs of words, so none is missed and not all names are compared.
+    """
+    share = threshold / 100.0 / ORDER_SHARE
+    if not LEAST_THRESHOLD / 100.0 <= share <= 1.0:
+        raise ValueError(f"a threshold from {LEAST_THRESHOLD * ORDER_SHARE:g} to {ORDER_SHARE * 100:g} can be met in any order")
+    parts = F.transform(_possible_parts(_joined(_words(F.col("norm"))), share), lambda k: F.concat(F.lit("p"), k))
+    own = F.transform(_own_parts(_joined(_words(F.col("norm"))), share), lambda k: F.concat(F.lit("p"), k))
+    pairs = F.transform(_word_pairs(F.col("norm")), lambda k: F.concat(F.lit("w"), k))
+    mine = open_names.select(name, "norm", F.explode(F.concat(parts, pairs)).alias("_v"))
+    theirs = by_name.select(F.col("norm").alias("_norm"), "_hit", F.explode(F.concat(own, pairs)).alias("_v"))
+    scored = mine.join(theirs, "_v").drop("_v").withColumn("_s", any_order_score(F.col("norm"), F.col("_norm"))).filter(F.col("_s") >= threshold - EPS)
+    return scored.groupBy(name).agg(F.max_by(F.struct("_hit", "_s"), F.struct("_s", -F.col("_hit.entity_id"))).alias("_b"))
+
+
 def resolve_names(
-    raw: DataFrame, name: str, pool: DataFrame, overrides: DataFrame | None = None, threshold: float = 85.0,
+    raw: DataFrame, name: str, pool: DataFrame, overrides: DataFrame | None = None, threshold: float = 85.0, any_order: bool = False,
 ) -> DataFrame:
     """Each distinct raw name with the entity it means: `entity_name`, `entity_id`, `score`, `stage`.
 
@@ -81,7 +135,8 @@ def resolve_names(
     open. Names with the same last name and initial carry no more than these two, so the pool is
     reduced to one candidate per block before it is joined. The score is an edit-distance share, not
     the scorer of any fuzzy-matching package, so thresholds are this library's own. Near names are all those at or
-    above the threshold, however many edits that allows.
+    above the threshold, however many edits that allows. With `any_order`, names still open are compared once more with
+    their words in any order and words of one name left out (`any_order_score`).
     """
     if threshold < LEAST_THRESHOLD:
         raise ValueError(f"a threshold of {LEAST_THRESHOLD} at least keeps part of every name")
@@ -135,6 +190,11 @@ def resolve_names(
     found = materialize(open_names.join(best, name, "left"))
     answers.append(answer(
         found.filter("_b IS NOT NULL"), F.col("_b._hit.full"), F.col("_b._hit.entity_id"), F.col("_b._s"), "near"))
+    if any_order:
+        still = found.filter("_b IS NULL").drop("_b")
+        found = materialize(still.join(names_in_any_order(still, name, by_name, threshold), name, "left"))
+        answers.append(answer(
+            found.filter("_b IS NOT NULL"), F.col("_b._hit.full"), F.col("_b._hit.entity_id"), F.col("_b._s"), "any order"))
     answers.append(answer(
         found.filter("_b IS NULL"), F.col(name), F.lit(None).cast(pool.schema["entity_id"].dataType), F.lit(0.0), "open"))
     out = answers[0]

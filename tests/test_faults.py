@@ -194,3 +194,27 @@ def test_audit_sees_days_that_run_backwards(spark):
     audit = evaluation.leakage_audit(df, ["rate"], ["days"]).first()
     assert not audit.days_non_negative and audit.rates_in_bounds and audit.h2h_consistent
     assert evaluation.leakage_audit(df.filter("days >= 0"), ["rate"], ["days"]).first().days_non_negative
+
+
+def test_names_in_any_order(spark):
+    from boutwise.operators import resolve
+
+    known = [(1, "Rafael", "Nadal"), (2, "Juan Martin", "del Potro"), (3, "Ana", "Li"), (4, "Li", "Na"), (5, "Juan Martin", "Potro"), (6, None, "Sania"), (7, "Potro", "Juan Martin")]
+    pool = spark.createDataFrame(known, "entity_id long, first_name string, last_name string")
+    raw = ["Nadal Rafael", "Nadal Rafael Parera", "Nadal Rafaell", "Nadal Rafeal", "DEL POTRO, Juan-Martin", "del Potro Juan", "Na, Li", "Parera", "", "  ", "Na Na Na", None]
+    rows = spark.createDataFrame([(r,) for r in raw], "raw string")
+    got = {r.raw: r for r in resolve.resolve_names(rows, "raw", pool, None, 80.0, any_order=True).collect()}
+    assert None not in got and len(got) == len(raw) - 1
+    assert {k: (r.entity_id, r.stage) for k, r in got.items()} == {
+        "Nadal Rafael": (1, "any order"), "Nadal Rafael Parera": (1, "any order"), "Nadal Rafaell": (1, "any order"),
+        "Nadal Rafeal": (None, "open"),  # two edits of twelve letters: 0.95 x 83.3
+        "DEL POTRO, Juan-Martin": (2, "any order"), "del Potro Juan": (2, "any order"), "Na, Li": (4, "any order"),
+        "Parera": (None, "open"), "": (None, "open"), "  ": (None, "open"), "Na Na Na": (None, "open")}
+    assert got["Nadal Rafael"].score == got["Nadal Rafael Parera"].score == pytest.approx(95.0)
+    closed = resolve.resolve_names(rows, "raw", pool, None, 80.0)
+    assert {r.stage for r in closed.collect()} == {"open"}
+    with pytest.raises(ValueError):
+        resolve.resolve_names(rows, "raw", pool, None, 96.0, any_order=True).count()
+    empty = resolve.resolve_names(rows.limit(0), "raw", pool, None, 80.0, any_order=True)
+    assert empty.count() == 0
+    assert resolve.resolve_names(rows, "raw", pool.limit(0), None, 80.0, any_order=True).filter("stage <> 'open'").count() == 0
