@@ -15,7 +15,7 @@ from boutwise.catalog.windows import FLAT_SQL, _pairs, flat_curve
 from boutwise.functions import market
 from boutwise.operators import equity, evaluation, features, keyed, marketplace, ratings
 from boutwise.operators.history import History, PrefixLast
-from boutwise.sources import merge
+from boutwise.sources import merge, tables
 
 KEY = ["match_key"]
 
@@ -280,6 +280,19 @@ def status_counts(spark, folder):
     return o.groupBy("tour").agg(F.count("*").alias("row_count"), F.count_if(F.col("status") == "O").alias("open_rows"))
 
 
+INVENTORY = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "event_id", "customer": None, "equity": "day"}
+
+
+@query("d27_table_inventory", """SELECT 'orders' AS artifact, true AS present, count(*) AS row_count, CAST(max(o_orderdate) AS VARCHAR) AS latest, true AS sized FROM orders
+UNION ALL SELECT 'lineitem', true, count(*), CAST(max(l_shipdate) AS VARCHAR), true FROM lineitem UNION ALL SELECT 'events', true, count(*), CAST(max(event_id) AS VARCHAR), true FROM events
+UNION ALL SELECT 'customer', true, count(*), NULL, true FROM customer UNION ALL SELECT 'equity', false, NULL, NULL, false""")
+def table_inventory(spark, folder):
+    """The tables a run should have left, one of them missing."""
+    found = tables.table_inventory(spark, {name: (f"{folder}/{name}.parquet", day) for name, day in INVENTORY.items()})
+    sized = F.coalesce((F.col("files") > 0) & (F.col("bytes") > 0) & F.col("last_modified").isNotNull(), F.lit(False))
+    return found.select("artifact", "present", "row_count", "latest", sized.alias("sized"))
+
+
 @query("d18_strategy_summary", twin(["scored"], FLAT_SQL + f""", pk AS (SELECT strategy, equity, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY match_date), 500.0) AS peak FROM flat),
 dd AS (SELECT strategy, max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0.0 END) AS dd FROM pk GROUP BY 1),
 g AS (SELECT flat.strategy, CAST(sum(bets) AS BIGINT) AS bets, sum(wins) / sum(bets) AS wr, CAST(sum(bets) AS DOUBLE) AS staked, arg_max(equity, match_date) AS ec FROM flat GROUP BY 1)

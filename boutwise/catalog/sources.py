@@ -16,6 +16,22 @@ from boutwise.sources import ledger, merge, pages, tables
 EXPECTED = {"o_orderkey": "bigint", "o_custkey": "bigint", "winner_entry": "string", "o_totalprice": "double", "source": "string"}
 
 
+@query("a01_scan_year_files", twin(["bouts"], """SELECT 'atp' AS tour, year(match_date) AS year, CAST(tourney_id AS VARCHAR) AS tourney_id, match_num, CAST(winner_id AS VARCHAR) AS winner_id, CAST(loser_id AS VARCHAR) AS loser_id,
+ CAST(w_svpt AS INT) AS w_svpt, CASE surface WHEN 'A' THEN NULL ELSE surface END AS surface, 'files' AS source FROM bouts"""))
+def scan_year_files(spark, folder):
+    """Matches written as one set of files a year and read back, beside files that are none of this tour's years."""
+    path = f"{shared_folder(spark)}/years-{uuid.uuid4().hex}"
+    b = views.bouts(spark, folder)
+    raw = b.withColumns({"w_svpt": F.col("w_svpt").cast("int"), "surface": F.when(F.col("surface") != "A", F.col("surface"))}).drop("l_svpt")
+    tables.write_year_files(raw, path, "atp", F.year("match_date"))
+    tables.write_year_files(raw.filter("match_num = 1"), path, "wta", F.year("match_date"))
+    raw.select("tourney_id").write.option("header", True).csv(f"{path}/atp_matches_quali.csv")
+    rows = tables.scan_year_files(spark, path, "atp")
+    return rows.select(
+        F.regexp_extract("source_file", r"^([a-z]+)_", 1).alias("tour"), F.regexp_extract("source_file", r"_(\d{4})", 1).cast("bigint").alias("year"),
+        "tourney_id", "match_num", "winner_id", "loser_id", "w_svpt", "surface", "source")
+
+
 @query("a02_scan_aligned", "SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR) AS winner_entry, o_totalprice, 'custom' AS source FROM orders")
 def scan_aligned(spark, folder):
     return tables.align(views.table(spark, folder, "orders"), EXPECTED, source="custom")

@@ -63,3 +63,10 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
 def delete_folder(spark: SparkSession, path: str) -> None:
     system, place = _place(spark, path)
     system.delete(place, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    system, place = _place(spark, path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    if system.exists(target) or not system.rename(place, target):
+        raise FileExistsError(to)

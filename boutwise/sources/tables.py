@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutwise.functions.text import blank_to_null, canonical_id, normalize_name
+from boutwise.session import delete_folder, folder_names, rename
 
 # The 49 columns of a raw result file, and the 15 of a hand-kept one.
 _SIDE = ["id", "seed", "entry", "name", "hand", "ht", "ioc", "age"]
@@ -46,6 +49,63 @@ def scan_year_files(spark: SparkSession, path: str, tour: str, source: str = "fi
     ).filter(F.col("source_file").rlike(rf"^{tour}_matches_\d+\.csv$"))
 
 
+def write_year_files(df: DataFrame, path: str, tour: str, year: Column) -> None:
+    """Raw results as `{tour}_matches_<year><file number>.csv`, the form `scan_year_files` reads; rows without a year are left out.
+
+    Spark writes the rows by year; only the files are renamed afterwards. Files of the same name are an error.
+    """
+    spark, work = df.sparkSession, f"{path}/_by_year-{uuid.uuid4().hex}"
+    expected = {f.name: f.dataType.simpleString() for f in raw_schema()}
+    rows = align(df.withColumn("_year", year), {**expected, "_year": "string"}).filter("_year IS NOT NULL")
+    rows.write.partitionBy("_year").option("header", True).csv(work)
+    for part in folder_names(spark, work):
+        if part.startswith("_year="):
+            files = sorted(f for f in folder_names(spark, f"{work}/{part}") if f.endswith(".csv"))
+            for number, file in enumerate(files):
+                rename(spark, f"{work}/{part}/{file}", f"{path}/{tour}_matches_{part.removeprefix('_year=')}{number:05d}.csv")
+    delete_folder(spark, work)
+
+
+def table_inventory(spark: SparkSession, tables: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """One row per named table of parquet files (`path`, day column or None): artifact, present, row_count, latest, files, bytes, last_modified.
+
+    Row counts read no column, and latest days come from the parquet footers where the type has statistics that hold (dates and
+    numbers), else from a scan of that one column; sizes and times come from the file listing, which Spark spreads over its tasks. A missing or empty
+    folder has present false and NULL figures; a file that is no parquet is an error.
+    """
+    shape = "artifact string, present boolean, row_count bigint, latest string, files bigint, bytes bigint, last_modified timestamp"
+    out = spark.createDataFrame([(name, False, *[None] * 5) for name, (path, _) in tables.items() if not folder_holds(spark, path)], shape)
+    for name, (path, day) in tables.items():
+        if not folder_holds(spark, path):
+            continue
+        # Not counted from footers: Spark's count is then NULL where all files are without rows.
+        counted = spark.read.parquet(path).agg(F.count("*").alias("row_count"))
+        figures = counted.crossJoin(from_footers(spark, path).agg(F.max(day).cast("string").alias("latest"))) if day else counted.withColumn("latest", F.lit(None).cast("string"))
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).agg(
+            F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("last_modified"))
+        # All sides are single rows.
+        out = out.unionByName(figures.crossJoin(listed).select(F.lit(name).alias("artifact"), F.lit(True).alias("present"), *figures.columns, *listed.columns))
+    return out
+
+
+def from_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table whose ungrouped least and greatest values Spark answers from file footers."""
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        return spark.read.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def folder_holds(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file, or a folder with anything but hidden names in it."""
+    return any(not n.startswith(("_", ".")) for n in folder_names(spark, path))
+
+
 def align(df: DataFrame, expected: dict[str, str], **fixed: str) -> DataFrame:
     """Exactly the expected columns in order: missing ones are NULL, fixed ones are overwritten."""
     return df.select(*[

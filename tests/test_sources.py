@@ -22,6 +22,34 @@ def test_year_files(spark, tmp_path):
     assert got.count() == 3
 
 
+def test_year_files_are_written_and_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 2001, None), ("b", 2, 2001, 'x, "y"'), ("c", 3, 1999, "ü"), ("d", 4, None, "z")], "tourney_id string, match_num int, y int, score string")
+    tables.write_year_files(df.repartition(3), str(tmp_path), "atp", F.col("y"))
+    got = tables.scan_year_files(spark, str(tmp_path), "atp").select(F.substring("source_file", 13, 4).alias("y"), "tourney_id", "match_num", "score", "surface")
+    assert sorted(map(tuple, got.collect())) == [("1999", "c", 3, "ü", None), ("2001", "a", 1, None, None), ("2001", "b", 2, 'x, "y"', None)]
+    with pytest.raises(FileExistsError):
+        tables.write_year_files(df.coalesce(1), str(tmp_path), "atp", F.col("y"))
+
+
+def test_table_inventory(spark, tmp_path):
+    days = spark.createDataFrame([(dt.date(2024, 1, 2), "a"), (dt.date(2024, 3, 1), "b"), (None, None)], "day date, name string")
+    days.repartition(2).write.parquet(f"{tmp_path}/days")
+    days.limit(0).write.parquet(f"{tmp_path}/none")
+    (tmp_path / "bare").mkdir()
+    asked = {"days": ("days", "day"), "names": ("days", "name"), "none": ("none", "day"), "bare": ("bare", "day"), "gone": ("gone", None)}
+    got = {r.artifact: r for r in tables.table_inventory(spark, {k: (f"{tmp_path}/{p}", c) for k, (p, c) in asked.items()}).collect()}
+    assert {k: tuple(r)[1:4] for k, r in got.items()} == {
+        "days": (True, 3, "2024-03-01"), "names": (True, 3, "b"), "none": (True, 0, None), "bare": (False, None, None), "gone": (False, None, None)}
+    files = list((tmp_path / "days").glob("*.parquet"))
+    assert (got["days"].files, got["days"].bytes) == (len(files), sum(f.stat().st_size for f in files)) and got["gone"].bytes is None
+    days.limit(0).write.mode("append").parquet(f"{tmp_path}/days")  # a file without rows beside the others
+    again = tables.table_inventory(spark, {"days": (f"{tmp_path}/days", "day")}).first()
+    assert (again.row_count, again.latest, again.files) == (3, "2024-03-01", len(files) + 1)
+    plan = tables.from_footers(spark, f"{tmp_path}/days").agg(F.max("day"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MAX(day)]" in plan
+    assert tables.table_inventory(spark, {}).count() == 0
+
+
 def test_json_map_and_codes(spark, tmp_path):
     path = tmp_path / "map.json"
     path.write_text("﻿" + json.dumps({"Rome": "ita", "Odd": "no", "Paris": " FRA "}), encoding="utf-8")
