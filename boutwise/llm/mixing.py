@@ -8,7 +8,8 @@ in parallel, each leaving two open documents at most; the open ones of many bloc
 source has one block. Its last two open documents are the landing problem: the draw that keeps both probabilities
 and has the least expected error in words.
 
-Random choices are hashes of doc_id and size, so reruns agree whatever the partitioning.
+Random choices are hashes of doc_id, size and the running number of a row among its repeats, so reruns agree whatever the
+partitioning, and repeats are spread over all blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from boutwise.llm.common import stored, word_count
 
 BLOCK = 4_096
+RUN = 4_096  # numbers of repeats that are made at once
 CEILING = 3.0
 EDGE = 1e-9
 
@@ -100,6 +102,18 @@ def _fly(last: bool):
     return run
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """doc_id, source, size of every row, and order: a hash that differs between repeats of a row.
+
+    Repeats are counted and laid out again with running numbers, so however many there are, no task holds them and no window runs over them.
+    """
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    rows = runs.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n") - 1, F.col("run") * RUN + (RUN - 1)))))
+    return rows.select("doc_id", "source", "size", F.when(F.col("nth") == 0, F.xxhash64("doc_id", "size")).otherwise(
+        F.xxhash64("doc_id", "size", "nth")).alias("order"))
+
+
 def mix_sources(docs: DataFrame, ceiling: float = CEILING, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of `docs` (doc_id, source, text, ...).
 
@@ -112,9 +126,9 @@ def mix_sources(docs: DataFrame, ceiling: float = CEILING, block: int = BLOCK) -
     plan = stored(source_targets(totals.select("source", "source_size"), ceiling).join(
         totals.select(F.col("source").alias("s2"), "rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
     most = plan.agg(F.max("rows")).first()[0] or 0
-    key = F.xxhash64("doc_id", "size")
-    rows = sized.join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2").withColumns({
-        "whole": F.floor("rate"), "p": F.col("rate") - F.floor("rate"), "order": key,
+    key = F.col("order")
+    rows = numbered(sized).join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2").withColumns({
+        "whole": F.floor("rate"), "p": F.col("rate") - F.floor("rate"),
         "draw": F.pmod(F.xxhash64(F.lit("draw"), key), F.lit(1 << 52)) / F.lit(float(1 << 52))})
     columns = "doc_id long, source string, size long, source_size long, target double, rows long, whole long, p double, order long, draw double, block long"
     blocks, settled = math.ceil(most / block), None
