@@ -9,6 +9,7 @@ add up. A narrow margin between the two smallest sizes is a rejection.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,9 @@ PIECE_BYTES = 1_024
 LEAST_MARGIN = 0.001
 MOST_LANGUAGES = 1_000  # 100 MB of dictionaries; more languages than that are refused
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+# What is a word character but no letter: decimal digits, and numbers such as fractions, superscripts and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str) -> str:
@@ -35,20 +38,22 @@ def letters(text: str) -> str:
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Dictionary of each language in `labelled` (doc_id, text, lang); rows without text or lang teach nothing.
+    """Dictionary of each language in `labelled` (doc_id, text, lang); rows without text or lang teach nothing, rows without id do.
 
-    Reads ids first and the texts of the chosen rows after, so that no text is sorted.
+    Row keys are chosen first and the texts of the chosen rows read after, so that no text is sorted. Repeated rows count
+    once; of one doc_id's different texts each takes a place. More than `MOST_LANGUAGES` languages are an error.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
-    chosen = chosen.select("doc_id", "place").distinct().collect()  # at most sample_docs rows a language
-    ids = [r.doc_id for r in chosen]
-    if len(ids) > MOST_LANGUAGES * sample_docs:
+    usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", "text")
+    if usable.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError("more languages than dictionaries may be sent to every task")
-    rows = usable.filter(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text")) if ids else usable.limit(0)
+    key = F.xxhash64("lang", "doc_id", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    places = usable.select("lang", "doc_id", key.alias("key")).distinct().withColumn("place", F.row_number().over(order))
+    chosen = places.filter(F.col("place") <= sample_docs).select("key").collect()  # at most sample_docs rows a language
+    rows = usable.filter(key.isin([r.key for r in chosen])).select(
+        "lang", "doc_id", F.substring("text", 1, sample_chars).alias("text")) if chosen else usable.limit(0)
     texts: dict[str, list[list[str]]] = {}
-    for row in sorted(rows.dropDuplicates().collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+    for row in sorted(rows.dropDuplicates().collect(), key=lambda r: (r.lang, r.doc_id is None, r.text if r.doc_id is None else r.doc_id, r.text)):
         texts.setdefault(row.lang, []).append(sorted(set(map(letters, row.text.split("\n"))) - {""}))
     shared = Counter(line for lang in texts for line in {x for lines in texts[lang] for x in lines})
     return {lang: "\n".join(x for lines in texts[lang] for x in lines if shared[x] == 1).encode()[:DICTIONARY_BYTES] for lang in sorted(texts)}

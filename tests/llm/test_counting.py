@@ -111,9 +111,85 @@ def test_mix_of_nothing(spark, empty):
     assert rows(mixing.mix_sources(no_words), "doc_id", "taken") == [(1, 0), (2, 0)]
 
 
+def test_repeated_rows_are_dealt_to_many_blocks(spark):
+    some = [(None, "a", 3)] * 9_000 + [(7, "a", 3)] * 500 + [(7, None, 0)] * 2 + [(8, "a", 1)]
+    sized = spark.createDataFrame(some, "doc_id long, source string, size long")
+    found = mixing.numbered(sized.repartition(5)).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in found) == Counter(some)
+    assert len({r.order for r in found if r.source == "a"}) == 9_501
+    blocks = Counter(r.order % 64 for r in found)
+    assert max(blocks.values()) < 2 * len(found) / 64
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 2_000 + [(2, "one", "b")] * 6_000, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(docs, block=16)
+    taken = {r.source: (r.taken, r.target) for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert mixed.count() == 8_000 and all(abs(got - goal) <= 6 for got, goal in taken.values())
+    assert rows(mixed, "doc_id", "copies") == rows(mixing.mix_sources(docs.repartition(9), block=16), "doc_id", "copies")
+
+
 # 5: language
 
 
+def brute_languages(given, sample_docs, sample_chars):
+    """Dictionaries and the sizes of every text under each, in plain loops."""
+    import xxhash
+    import zstandard as z
+
+    def letters(text):
+        return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+
+    def spread(doc_id):
+        h = xxhash.xxh64(doc_id.to_bytes(8, "little"), seed=42).intdigest() if doc_id is not None else 42
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    sample = {}
+    for doc_id, text, lang in sorted({g for g in given if g[1] and g[2] is not None}, key=lambda g: (spread(g[0]), g[0] is not None, g[0] or 0)):
+        sample.setdefault(lang, []).append((doc_id is None, doc_id or 0, text[:sample_chars]))
+    lines = {lang: [(line, k) for k, (*_, text) in enumerate(sorted(x[:sample_docs])) for line in sorted({letters(t) for t in text.split("\n")} - {""})] for lang, x in sample.items()}
+    held = Counter(line for found in lines.values() for line in {line for line, _ in found})
+    coders = {}
+    for lang in sorted(lines):
+        raw = "\n".join(line for line, _ in lines[lang] if held[line] == 1).encode()[:100_000] or b" " * 8
+        settings = z.ZstdCompressionParameters.from_level(3, source_size=100_000, dict_size=100_000, strategy=z.STRATEGY_BTLAZY2, min_match=4, search_log=6,
+                                                          write_content_size=False, write_checksum=False, write_dict_id=False)
+        content = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(compression_params=settings)
+        coders[lang] = z.ZstdCompressor(dict_data=content, compression_params=settings)
+
+    def best(text):
+        raw = letters(text or "").encode()
+        sizes = {lang: sum(len(c.compress(raw[k:k + 1_024])) for k in range(0, len(raw), 1_024)) for lang, c in coders.items()}
+        return min(sizes, key=lambda lang: (sizes[lang], lang)) if raw else "und"
+
+    return best
+
+
+def test_language_equals_brute_force(both):
+    given = [(r.doc_id, r.text, r.lang) for r in both.collect()]
+    # 8 rows a language, so that the choice of rows shows; rows without id share one hash and are all chosen or come last.
+    best = brute_languages(given, 8, 500)
+    found = language.predict_language(both, language.learn(both, 8, 500), keep=["doc_id", "text"]).collect()
+    assert len(found) == len(given)
+    wrong = [(r.doc_id, r.lang_pred, best(r.text)) for r in found if r.lang_pred != best(r.text)]
+    assert not wrong
+
+
+def test_numbers_are_no_letters(spark):
+    texts = ["²½", "Ⅷ ① 4 _", "٣٤", "½ a", "漢", "ʰ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: r.lang_pred for r in language.predict_language(docs, {"en": b"the a"}, keep=["text"]).collect()}
+    assert got == {"²½": "und", "Ⅷ ① 4 _": "und", "٣٤": "und", "½ a": "en", "漢": "en", "ʰ": "en"}
+
+
+def test_rows_without_id_teach(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(None, "solo senza numero", "it")] * 50 + [(None, "ancora una", "it"), (1, "only one", "en"), (1, "and another", "en"), (1, "only one", "en")],
+        "doc_id long, text string, lang string")
+    assert language.learn(docs, sample_docs=2) == {"en": b"and another\nonly one", "it": b"ancora una\nsolo senza numero"}
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.learn(docs)
+
+
 def test_language_held_out(spark):
     found = {r.doc_id: r for r in QUERIES["op5_language"](spark, "/root/testdata/sf0.01").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL").collect()
