@@ -28,13 +28,19 @@ LEAST_MARGIN = 0.001
 MOST_LANGUAGES = 1_000  # 100 MB of dictionaries; more languages than that are refused
 UNKNOWN = "und"
 # What is a word character but no letter: decimal digits, and numbers such as fractions, superscripts and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+# Those past U+FFFF are kept apart, as a character class that holds them is tried range by range.
+_NUMBERS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+_OTHER = re.compile(rf"[\W\d_{''.join(c for c in _NUMBERS if c <= '\uffff')}]+")
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+_FAR_NUMBERS = re.compile(f"[{''.join(c for c in _NUMBERS if c > '\uffff')}]+")
 
 
 def letters(text: str) -> str:
     """Lower case, every run of other characters one space."""
-    return _OTHER.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii() and _FAR.search(text):
+        text = _FAR_NUMBERS.sub(" ", text)
+    return _OTHER.sub(" ", text).strip()
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:

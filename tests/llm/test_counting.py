@@ -174,10 +174,13 @@ def test_language_equals_brute_force(both):
 
 
 def test_numbers_are_no_letters(spark):
-    texts = ["²½", "Ⅷ ① 4 _", "٣٤", "½ a", "漢", "ʰ"]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    kept = language.letters(" ".join(c for c in points if c.lower() == c)).split()
+    assert kept == [c for c in points if c.lower() == c and c.isalpha()]
+    texts = ["²½", "Ⅷ ① 4 _", "𐄇 🄀", "٣٤", "½ a", "漢", "ʰ"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.text: r.lang_pred for r in language.predict_language(docs, {"en": b"the a"}, keep=["text"]).collect()}
-    assert got == {"²½": "und", "Ⅷ ① 4 _": "und", "٣٤": "und", "½ a": "en", "漢": "en", "ʰ": "en"}
+    assert got == {"²½": "und", "Ⅷ ① 4 _": "und", "𐄇 🄀": "und", "٣٤": "und", "½ a": "en", "漢": "en", "ʰ": "en"}
 
 
 def test_rows_without_id_teach(spark, monkeypatch):
