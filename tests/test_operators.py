@@ -126,6 +126,23 @@ def test_sequential_ratings_equal_the_loop(spark):
         assert final[p] == pytest.approx(want[last][0] + want[last][2], abs=1e-6)
 
 
+def test_a_busy_player_is_rated_in_blocks_of_days(spark):
+    """Sixty matches of one player in one period: no block takes more sweeps than its matches, whatever the period's."""
+    rnd = random.Random(9)
+    matches = [(f"m{i}", 0, *rnd.sample(["hot", f"p{rnd.randrange(6)}"], 2), rnd.choice(["Hard", "Clay"]), 32.0) for i in range(60)]
+    want, rows = elo_loop(matches), rating_rows(spark, matches)
+    blocks = ratings.day_blocks(rows, 20).groupBy("block").count().collect()
+    assert sorted(r["block"] for r in blocks) == [1, 2, 3] and {r["count"] for r in blocks} == {4}
+    events = ratings.sequential_ratings(rows, tolerance=1e-9, most=20)[0].cache()
+    got = by_event(events)
+    assert set(got) == set(want)
+    for e, v in want.items():
+        assert got[e] == pytest.approx(v, abs=1e-6)
+    assert {r["block"] for r in events.filter("sweeps <= 25").select("block").distinct().collect()} == {1, 2, 3} and events.filter("sweeps > 25").isEmpty()
+    assert {r[0] for r in ratings.day_blocks(rows, 100).select("block").collect()} == {1}
+    assert ratings.day_blocks(rows.withColumn("day", F.when(F.col("b") > 4, F.col("day"))), 20).filter("day IS NULL").isEmpty()
+
+
 def test_period_ratings_meet_the_loop_only_without_repeats(spark):
     once = [("m1", 1, "a", "b", "Hard", 32.0), ("m2", 1, "c", "d", "Hard", 32.0), ("m3", 2, "a", "c", "Clay", 32.0), ("m4", 2, "b", "d", "Hard", 32.0)]
     got = by_event(ratings.period_ratings(rating_rows(spark, once))[0])
