@@ -174,10 +174,24 @@ def param_grid(spark, folder):
     return out.select("setting", "folds", (F.col("rank").between(1, 2) & (F.col("winner") == (F.col("rank") == 1))).alias("ranked"))
 
 
+PENALTIES = {"a_none": 0.0, "b_light": 0.3, "c_heavy": 3.0, "d_most": 30.0}
+
+
+@query("h10_halving_search", twin(["scored"], FOLDS_SQL + """, la AS (SELECT max(fold) AS last FROM fn),
+st AS (SELECT * FROM (VALUES ('a_none', 1), ('b_light', 2), ('c_heavy', 3), ('d_most', 4)) s(setting, place))
+SELECT fold, setting, size AS n, CAST(place AS INT) AS place, place <= CASE WHEN fold = last THEN 1 WHEN fold = 1 THEN 2 ELSE 1 END AS kept, setting = 'a_none' OR NULL AS below_base
+FROM fn, la, st WHERE place <= CASE fold WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END"""))
+def halving_search(spark, folder):
+    """One input tells the winner in most rows, so that a heavier penalty is a greater loss and the order of the settings is known."""
+    rows = modelled(spark, folder).withColumn("hint", F.when(F.col("match_num") % 5 == 0, 1 - F.col("p1_wins")).otherwise(F.col("p1_wins")))
+    out = learning.halving_search(rows, [*FEATURES, "hint"], "p1_wins", ORDER, {n: {"kind": "logreg", "regParam": r} for n, r in PENALTIES.items()})
+    return out.select("fold", "setting", "n", "place", "kept", F.when(F.col("setting") == "a_none", F.col("log_loss") < 0.6).alias("below_base"))
+
+
 @query("h11_walk_forward", twin(["scored"], """ SELECT year(match_date) AS period, count(*) AS n, CAST(sum(p1_wins) AS BIGINT) AS wins, true AS in_bounds FROM scored
 WHERE year(match_date) > (SELECT min(year(match_date)) FROM scored) GROUP BY 1"""))
 def walk_forward(spark, folder):
-    """Fits per year, the periods the reference does per date."""
+    """Fits per year."""
     out = learning.walk_forward(
         modelled(spark, folder), FEATURES, "p1_wins", ORDER, F.year("match_date"), "logreg", ["match_key", "p1_wins"])
     return out.groupBy(F.col("period").cast("bigint").alias("period")).agg(

@@ -218,3 +218,14 @@ def test_names_in_any_order(spark):
     empty = resolve.resolve_names(rows.limit(0), "raw", pool, None, 80.0, any_order=True)
     assert empty.count() == 0
     assert resolve.resolve_names(rows, "raw", pool.limit(0), None, 80.0, any_order=True).filter("stage <> 'open'").count() == 0
+
+
+def test_halving_search_keeps_the_better_half(spark):
+    rng = random.Random(5)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), i, float(y if rng.random() < 0.8 else 1 - y), y) for i, y in ((i, rng.randrange(2)) for i in range(120))]
+    df = spark.createDataFrame(rows, "day date, i int, x double, y int")
+    grid = {name: {"kind": "logreg", "regParam": r} for name, r in (("w", 100.0), ("v", 0.5), ("u", 0.0))}
+    out = learning.halving_search(df, ["x"], "y", ["day", "i"], grid, folds=2, min_train=40, min_test=20)
+    got = [(r["fold"], r["setting"], r["place"], r["kept"]) for r in out.orderBy("fold", "place").collect()]
+    assert got == [(1, "u", 1, True), (1, "v", 2, True), (1, "w", 3, False), (2, "u", 1, True), (2, "v", 2, False)]
+    assert learning.halving_search(df, ["x"], "y", ["day", "i"], grid, min_train=10**6).isEmpty()
