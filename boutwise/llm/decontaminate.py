@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutwise.llm.common import encoded, slices, stored
+from boutwise.llm.common import discard, encoded, slices, stored
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000  # of items in one automaton, a few hundred MB at most; more items go in several passes
+SHARD_WORDS = 200_000  # of items in one automaton, which takes about 180 MB; more items go in several passes
 #: All bytes that separate words become blanks: the contract's complement of digits, letters and everything beyond ASCII.
 SEPARATORS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
@@ -35,7 +35,7 @@ def words_of(raw: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton over word ids."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | str | None, bytes]], window: int = WINDOW):
         self.window, self.ids = window, {}
         texts = [(item, [self.ids.setdefault(w, len(self.ids)) for w in words_of(raw)]) for item, raw in items]
         self.next: list[dict[int, int]] = [{}]
@@ -52,7 +52,7 @@ class SuffixAutomaton:
             for end, (state, length) in enumerate(self._run(text), 1):
                 if size and end >= size:
                     state = self._cut(state, length, size)
-                    self.windows.setdefault(state, set()).add(str(item))
+                    self.windows.setdefault(state, set()).update([] if item is None else [str(item)])
                     self.window_length.setdefault(state, size)
         # A state may be the window of a short item and hold longer strings too; the marks on its suffixes, longest first.
         self.marks: list[list[int]] = [[] for _ in self.link]
@@ -150,9 +150,36 @@ class SuffixAutomaton:
         return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
 
 
-def _passes(items: DataFrame, shard_words: int) -> int:
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    return 1 if total <= shard_words else -(-2 * total // shard_words)
+#: A word as `words_of` finds it, before letters are lowered.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def item_pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text, size) of the distinct items that have words, those of more than `most` words in pieces of `most`.
+
+    Pieces overlap by one word less than a window and have a window's words at least, so that every window of an item lies in
+    one piece and a piece has no other windows.
+    """
+    step = most - window + 1
+    if step < 1:
+        raise ValueError("pieces must be longer than a window")
+    words = items.select("item_id", "text").filter("text IS NOT NULL").dropDuplicates().withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    n = F.size("words")
+    starts = F.when(n > most, F.sequence(F.lit(0), n - window, F.lit(step))).otherwise(F.array(F.lit(0)))
+    pieces = words.filter(n > 0).select("item_id", "words", F.explode(starts).alias("start")).select("item_id", F.slice("words", F.col("start") + 1, F.lit(most)).alias("words"))
+    return pieces.select("item_id", F.array_join("words", " ").alias("text"), F.size("words").cast("long").alias("size")).dropDuplicates()
+
+
+def _shard(n: int):
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+
+
+def _passes(pieces: DataFrame, shard_words: int) -> int:
+    """The least power of two of shards none of which holds more than `shard_words` words."""
+    n = 1
+    while (pieces.groupBy(_shard(n)).agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0) > shard_words:
+        n *= 2
+    return n
 
 
 _AUTOMATA: dict[tuple, SuffixAutomaton] = {}
@@ -170,7 +197,7 @@ SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 HITS = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 
 
-def _match(frame: DataFrame, shard: list[tuple[int | None, bytes]], window: int) -> DataFrame:
+def _match(frame: DataFrame, shard: list[tuple[int | str | None, bytes]], window: int) -> DataFrame:
     """`frame` (..., text) plus what one automaton finds; the shard is of bounded size (`shard_words`)."""
     shared, key, names = frame.sparkSession.sparkContext.broadcast(shard), (uuid.uuid4().hex, window), frame.columns
 
@@ -191,19 +218,23 @@ def find_hits(docs: DataFrame, items: DataFrame, keep: list[str], window: int =
     """The columns `keep` of `docs` (..., text) plus n_words, spans of hit words and items with an occurring window.
 
     One row per row of `docs`; `items` is (item_id, text). NULL and empty texts have no words, and an item without words
-    occurs nowhere. Benchmarks of more than `shard_words` words are matched shard by shard, each over all documents and on
-    top of what is known so far, so that rows need no key.
+    occurs nowhere. Words of an item without id are hit, but it is not listed. Benchmarks of more than `shard_words` words are matched
+    shard by shard, each over all documents and on top of what is known so far, so that rows need no key.
     """
-    items = items.select("item_id", "text").filter("text IS NOT NULL").dropDuplicates()
-    n, columns = _passes(items, shard_words), list(dict.fromkeys([*keep, "text"]))
-    found = docs.select(*columns)
+    # Many pieces fill a shard, so that shards of pieces placed by hash come out even.
+    pieces = item_pieces(items, window, max(2 * window, shard_words // 8))
+    n, columns = _passes(pieces, max(shard_words, 2 * window)), list(dict.fromkeys([*keep, "text"]))
+    found, last = docs.select(*columns), None
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        shard = [(r.item_id, r.text.encode()) for r in part.collect()]  # bounded by shard_words
+        shard = [(r.item_id, r.text.encode()) for r in pieces.filter(_shard(n) == k).collect()]  # bounded by shard_words
         if k == 0:
             found = _match(found, shard, window)
         else:
-            found = _match(stored(found).withColumnsRenamed({"n_words": "n0", "spans": "s0", "items": "i0"}), shard, window).select(
+            held = stored(found)
+            if last is not None:
+                discard(last)
+            last = held
+            found = _match(held.withColumnsRenamed({"n_words": "n0", "spans": "s0", "items": "i0"}), shard, window).select(
                 *columns, "n_words", F.concat("s0", "spans").alias("spans"), F.array_union("i0", "items").alias("items"))
     return found.select(*keep, "n_words", "spans", "items")
 

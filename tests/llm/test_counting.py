@@ -362,7 +362,7 @@ def brute_hits(given, items, window=10):
     for item, text in items:
         w = split(text)
         for k in range(max(1, len(w) - window + 1) if w else 0):
-            windows[tuple(w[k:k + window])].add(str(item))
+            windows[tuple(w[k:k + window])].update([] if item is None else [str(item)])
     lengths, out = {len(w) for w in windows}, []
     for d, t in given:
         words, hit, found = split(t), set(), set()
@@ -378,7 +378,7 @@ def brute_hits(given, items, window=10):
 @pytest.mark.parametrize("shard_words", [2_000_000, 300])
 def test_hits(spark, both, shard_words):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text")
-    odd = [(1001, None), (1002, ""), (1003, "w7 w8 W9"), (1004, " ".join(f"w{k}" for k in range(20, 45))), (1004, "w7 w8 w9"), (None, "der der"), (1005, "w9")]
+    odd = [(1001, None), (1002, ""), (1003, "w7 w8 W9"), (1004, " ".join(f"w{k}" for k in range(20, 45))), (1004, "w7 w8 w9"), (None, "der der"), (None, None), (1005, "w9")]
     bench = bench.unionByName(spark.createDataFrame(odd, "item_id long, text string"))
     found = decontaminate.find_hits(both, bench, ["doc_id"], shard_words=shard_words).select(
         "doc_id", "n_words", decontaminate.hit_words(F.col("spans")).alias("n_hit"), F.size("items").alias("n_items"),
@@ -387,6 +387,18 @@ def test_hits(spark, both, shard_words):
     assert sorted(map(tuple, got), key=repr) == brute_hits(pairs(both), [(r.item_id, r.text) for r in bench.collect()])
 
 
+def test_long_items_are_cut_between_windows(spark):
+    given = [(1, ",".join(f"w{k}" for k in range(100))), (2, "Only-few words"), (3, "., ,"), (4, None), (None, " ".join("abc" * 9))]
+    pieces = decontaminate.item_pieces(spark.createDataFrame(given, "item_id long, text string"), 10, 20).collect()
+    assert all(r.size == len(r.text.split()) <= 20 for r in pieces)
+
+    def windows(rows):
+        split = [(i, BENCH_WORD.findall((t or "").lower())) for i, t in rows]
+        return {(i, tuple(w[k:k + 10])) for i, w in split if w for k in range(max(1, len(w) - 9))}
+
+    assert windows([(r.item_id, r.text) for r in pieces]) == windows(given)
+
+
 def test_hits_in_random_words(spark):
     rng = np.random.default_rng(11)
     items = [(k, " ".join(rng.choice(list("abc"), rng.integers(1, 16)))) for k in range(40)]
