@@ -1,7 +1,8 @@
 """Tool calls in chat data, in DataFrame operations only: link results by identifier, order calls, validate arguments, serialise.
 
-A call may name calls it waits for. Its level is 0 without any, else one more than the highest of those; levels are found by taking
-off all calls whose named ones are done, round by round, as many rounds as the deepest chain has links. Calls in or behind a
+A call may name calls it waits for. Its level is 0 without any, else one more than the highest of those. A call that waits for one
+other hangs on it: pointers along such chains are doubled, so their rounds grow with the logarithm of their length. Calls that
+wait for several are then taken off round by round, as many rounds as a path has such calls. Calls in or behind a
 cycle, or that wait for a call that does not exist, get no level. (level, turn, call_id) is a topological order of a
 conversation; no conversation is ever gathered in one place.
 """
@@ -14,25 +15,50 @@ from pyspark.sql import functions as F
 from boutwise.llm.common import discard, stored
 
 
+def hung(calls: DataFrame) -> DataFrame:
+    """call_id, at, hops, settled for the calls (call_id, after) that wait for one other.
+
+    `at` is the first call up the chain that does not itself wait for exactly one, or that does not exist; it is `hops` calls away. Where
+    the chain ends in a cycle, `settled` is false.
+    """
+    chain = calls.filter(F.size("after") == 1).select("call_id", F.col("after")[0].alias("at"))
+    more = chain.select(F.col("call_id").alias("at"), F.lit(False).alias("settled"))
+    out = stored(chain.join(more, "at", "left").select("call_id", "at", F.lit(1).alias("hops"), F.coalesce("settled", F.lit(True)).alias("settled")))
+    before = -1
+    while True:
+        row = out.agg(F.count("*").alias("n"), F.count_if("settled").alias("settled")).first()
+        if row.settled in (row.n, before):  # a round that settles nothing leaves only cycles and what hangs on them
+            return out
+        before = row.settled
+        step = out.select(F.col("call_id").alias("at"), F.col("at").alias("to"), F.col("hops").alias("on"), F.col("settled").alias("then"))
+        doubled = out.filter("NOT settled").join(step, "at").select("call_id", F.col("to").alias("at"), (F.col("hops") + F.col("on")).alias("hops"), F.col("then").alias("settled"))
+        last, out = out, stored(out.filter("settled").unionByName(doubled))
+        discard(last)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """call_id, level for the calls (call_id, after: array of call_ids) that can be ordered; ids are unique and not NULL."""
-    calls = calls.select("call_id", "after")
-    ids = calls.select("call_id")
-    waits = calls.select("call_id", F.explode(F.array_distinct(F.array_compact("after"))).alias("waits_for"))
-    # A call that waits for an unknown one keeps that edge for good.
-    edges = stored(waits)
-    front = stored(ids.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0)))
-    found = front
-    while True:
-        freed = edges.join(front.select(F.col("call_id").alias("waits_for")), "waits_for", "left_semi").select("call_id").distinct()
-        left = stored(edges.join(front.select(F.col("call_id").alias("waits_for")), "waits_for", "left_anti").select("call_id", "waits_for"))
-        level = front.select("level").first()
-        if level is None:
+    calls = stored(calls.select("call_id", F.array_distinct(F.array_compact("after")).alias("after")))
+    waits = F.coalesce(F.size("after"), F.lit(0))
+    pointers = hung(calls)
+    ends = pointers.filter("settled").select(F.col("call_id").alias("waits_for"), "at", "hops")
+    # What a call of several waits for is its anchor up the chain, and how much higher the call is at least.
+    edges = stored(calls.filter(waits > 1).select("call_id", F.explode("after").alias("waits_for")).join(ends, "waits_for", "left").select(
+        "call_id", F.coalesce("at", "waits_for").alias("on"), (F.coalesce("hops", F.lit(0)) + 1).alias("gain"), F.lit(None).cast("int").alias("least")))
+    front = found = calls.filter(waits <= 0).select("call_id", F.lit(0).alias("level"))
+    while not edges.isEmpty():
+        reached = front.select(F.col("call_id").alias("on"), "level")
+        last, edges = edges, stored(edges.join(reached, "on", "left").select(
+            "call_id", "on", "gain", F.coalesce("least", F.col("level") + F.col("gain")).alias("least")))
+        discard(last)
+        front = stored(edges.groupBy("call_id").agg(F.max("least").alias("level"), F.count_if(F.col("least").isNull()).alias("open")).filter("open = 0").select("call_id", "level"))
+        if front.isEmpty():
             break
-        front = stored(freed.join(left, "call_id", "left_anti").withColumn("level", F.lit(level[0] + 1)))
-        discard(edges)
-        edges, found = left, found.unionByName(front)
-    return found
+        found = found.unionByName(front)
+        last, edges = edges, stored(edges.join(front.select("call_id"), "call_id", "left_anti"))
+        discard(last)
+    above = found.select(F.col("call_id").alias("at"), F.col("level").alias("base"))
+    return found.unionByName(pointers.filter("settled").join(above, "at").select("call_id", (F.col("base") + F.col("hops")).alias("level")))
 
 
 #: What a schema may ask of a parameter, as the types of parsed JSON.

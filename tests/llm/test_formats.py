@@ -285,6 +285,28 @@ def test_odd_calls(spark):
     assert toolcalls.link_calls(calls, results.limit(0), schemas.limit(0)).filter("linked").count() == 0
 
 
+def test_levels_of_long_chains_and_branches(spark, monkeypatch):
+    """Chains, calls that wait for several, cycles and unknown calls against a plain loop; a chain of 200 takes few stages."""
+    rng = np.random.default_rng(3)
+    after = {f"c{k}": [f"c{k - 1}"] if k else [] for k in range(200)}
+    for k in range(300):
+        size = int(rng.choice([0, 1, 1, 1, 1, 2, 3]))
+        after[f"r{k}"] = [f"r{int(x)}" for x in rng.integers(max(0, k - 12), max(k, 1), size)] if k else []
+    after |= {"x": ["y"], "y": ["z"], "z": ["x"], "in": ["z", "c3"], "self": ["self"], "lost": ["nobody"], "behind": ["lost", "c1", "c1"], "top": ["c199", "r0"], "over": ["top"]}
+    want, grown = {}, True
+    while grown:
+        new = {c: max((want[w] for w in a), default=-1) + 1 for c, a in after.items() if c not in want and all(w in want for w in a)}
+        want, grown = want | new, bool(new)
+    made, stored = [], toolcalls.stored
+    monkeypatch.setattr(toolcalls, "stored", lambda df: made.append(1) or stored(df))
+    rows = spark.createDataFrame(list(after.items()), "call_id string, after array<string>")
+    assert {r.call_id: r.level for r in toolcalls.levels(rows).collect()} == want
+    chain = rows.filter("call_id LIKE 'c%'")
+    made.clear()
+    assert {r.call_id: r.level for r in toolcalls.levels(chain).collect()} == {c: v for c, v in want.items() if c[0] == "c"}
+    assert len(made) <= 12
+
+
 def test_calls_of_unknown_conversations_are_kept(spark, tmp_path):
     """NULL conv_id and NULL turn: the query's rows are those of its SQL twin."""
     import duckdb
