@@ -1,6 +1,7 @@
 """Faults that the fixtures cannot show, with tiny inputs."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
