@@ -247,3 +247,9 @@ def test_tree_pages_without_a_record(spark):
 def test_pages_of_both_forms_and_nulls(spark):
     rows = spark.createDataFrame([("a", "| [X](/p) | 2 | 6 | 6 |\n| [Y](/p) | 0 | 1 | 2 |", 32), ("b", None, 32), ("c", "", None)], "page string, text string, draw int")
     assert [(r.page, r.score) for r in pages.page_records(rows, "page", "text", F.col("draw")).collect()] == [("a", "6-1 6-2")]
+
+
+def test_pages_are_read_without_a_shuffle(spark):
+    rows = spark.createDataFrame([("a", "x\n| [A](/p) | 2 | 6 | 6 |\n| [B](/p) | 0 | 1 | 2 |"), ("a", "[row]\n[cell] 1")], "page string, text string").repartition(2)
+    plan = pages.page_records(rows, "page", "text", F.lit(32))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
