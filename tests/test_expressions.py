@@ -88,3 +88,12 @@ def test_staleness(spark):
         got = one(spark, contest.staleness(F.col("d"), F.lit("2024-01-20").cast("date")), d=("date", day - dt.timedelta(days=behind)))
         assert (got["days_behind"], got["status"]) == (behind, status)
     assert one(spark, contest.staleness(F.col("d"), F.lit("2024-01-20").cast("date")), d=("date", None))["status"] == "unknown"
+
+
+def test_figures_of_a_score_are_read_once(spark):
+    df = spark.createDataFrame([("6-4 3-6 7-6(5)",), ("W/O",), (None,)], "s string")
+    plan = df.select(scores.set_figures(F.col("s")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    held = df.withColumn("f", scores.set_figures(F.col("s"))).select(*[c.alias(n) for n, c in scores.parse_score(F.col("s"), F.col("f")).items()])
+    plain = df.select(*[c.alias(n) for n, c in scores.parse_score(F.col("s")).items()])
+    assert [tuple(r) for r in held.collect()] == [tuple(r) for r in plain.collect()] == [(2, 1, 32, False), (None, None, None, True), (None, None, None, False)]
