@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from boutwise.session import materialize
 
 SEGMENT_ROWS = 2_000_000
+# Rows that a task should sort at most, however many tasks that takes; entities stay whole.
+TASK_ROWS = 200_000
 SEGMENT = "_segment"
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
@@ -86,6 +88,12 @@ def busiest(df: DataFrame, keys: list[str]) -> int:
     return row[0] or 0
 
 
+def load(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the most frequent key and all rows, in the same pass."""
+    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys that may be NULL on both sides; the right copies of the keys are dropped."""
     renamed = right.select(
@@ -104,15 +112,24 @@ class History:
         order: list[str],
         segment_rows: int = SEGMENT_ROWS,
         hottest: int | None = None,
+        task_rows: int = TASK_ROWS,
     ):
         self.entity, self.day, self.order = list(entity), day, list(order)
-        hottest = busiest(df, self.entity) if hottest is None else hottest
+        rows = 0  # where the caller has counted, an earlier history has dealt the rows
+        if hottest is None:
+            hottest, rows = load(df, self.entity)
         self.segmented = hottest > segment_rows
-        self.df = self._cut(df, segment_rows) if self.segmented else df
+        self.df = self._cut(df, segment_rows) if self.segmented else self._deal(df, rows, task_rows)
         self.by = [*self.entity, SEGMENT] if self.segmented else self.entity
         # Days as numbers: range frames reach back by days, and share this sort order.
         self.window = Window.partitionBy(*self.by).orderBy(F.unix_date(self.day), *self.order)
 
+    def _deal(self, df: DataFrame, rows: int, task_rows: int) -> DataFrame:
+        """Entities dealt over so many tasks that the sorts of one hold a bounded number of rows as the table grows."""
+        if rows <= task_rows:
+            return df
+        return df.repartition(max(-(-rows // task_rows), df.sparkSession.sparkContext.defaultParallelism), *self.entity)
+
     def _cut(self, df: DataFrame, segment_rows: int) -> DataFrame:
         earlier = Window.partitionBy(*self.entity).orderBy(self.day).rowsBetween(*BEFORE)
         later_days = (

@@ -85,3 +85,11 @@ def test_null_entities_are_kept(spark):
     rows = [(None, START, 1, 1, 1.0), (None, START, 2, 0, 2.0), ("a", START, 3, 1, 3.0)] * 1
     for options in ({}, {"segment_rows": 1}):
         assert len(computed(spark, rows, **options)[1]) == 3
+
+
+def test_rows_of_a_task_are_bounded(spark):
+    df = spark.range(6000).selectExpr("id % 500 AS p", "DATE'2000-01-01' + CAST(id % 90 AS INT) AS d", "id AS o", "id % 2 AS v")
+    few = History(df, ["p"], "d", ["o"], task_rows=500).add(PrefixSum("s", F.col("v"))).result()
+    assert few.groupBy(F.spark_partition_id().alias("t")).count().agg(F.max("count")).first()[0] < 1500
+    plain = History(df, ["p"], "d", ["o"]).add(PrefixSum("s", F.col("v"))).result()
+    assert few.exceptAll(plain).count() == 0 and few.count() == 6000
