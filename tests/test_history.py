@@ -93,3 +93,8 @@ def test_rows_of_a_task_are_bounded(spark):
     assert few.groupBy(F.spark_partition_id().alias("t")).count().agg(F.max("count")).first()[0] < 1500
     plain = History(df, ["p"], "d", ["o"]).add(PrefixSum("s", F.col("v"))).result()
     assert few.exceptAll(plain).count() == 0 and few.count() == 6000
+
+
+def test_a_history_tells_its_busiest_entity(spark):
+    df = spark.createDataFrame([(1, "2000-01-01", 1), (1, "2000-01-02", 2), (2, "2000-01-01", 3)], "p int, d string, o int")
+    assert History(df.withColumn("d", F.to_date("d")), ["p"], "d", ["o"]).hottest == 2
