@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ EPS = 1e-9
 LAST_INITIAL = r"^(.+?)\s+([A-Za-z])\.?$"
 INITIAL_LAST = r"^([A-Za-z])\.?\s+(.+)$"
 ORDER_SHARE = 0.95  # what a likeness counts that takes no notice of the order of words
+PAIRED_EDITS = 4  # a known name that may have no more edits is looked for by two unchanged parts, a longer one by one
+PAIRED_LENGTH = 64  # and this length at most, so that the places listed are bounded
+TASK_TEXTS = 20_000  # texts whose keys a task lists
 LEAST_COMMON = 2  # words that two names must share before further words of either are passed over
 
 
@@ -53,8 +58,8 @@ def _own_parts(name: Column, share: float) -> Column:
     return F.transform(_up_to(F.lit(0), _most_edits(length, share)), key)
 
 
-def _possible_parts(name: Column, share: float) -> Column:
-    """Keys of an open name: all parts that similar names of any length might share with it."""
+def _possible_parts(name: Column, share: float, beyond: int = -1) -> Column:
+    """Keys of an open name: all parts that similar names of any length above `beyond` might share with it."""
     own = F.length(name)
 
     def of_length(length: Column) -> Column:
@@ -70,10 +75,82 @@ def _possible_parts(name: Column, share: float) -> Column:
 
         return F.flatten(F.transform(_up_to(F.lit(0), most), of_part))
 
-    lengths = _up_to(F.ceil(own * share - EPS), F.floor(own / share + EPS))
+    lengths = _up_to(F.greatest(F.ceil(own * share - EPS), F.lit(beyond + 1)), F.floor(own / share + EPS))
     return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
+def _allowed(longest: int, share: float) -> int:
+    """Edits between two similar names of which the longer has this length."""
+    return math.floor(longest * (1.0 - share) + EPS)
+
+
+def _longest_paired(share: float) -> int:
+    """The largest length of a known name that is looked for by two parts."""
+    length = 0
+    while length < PAIRED_LENGTH and _allowed(math.floor((length + 1) / share + EPS), share) <= PAIRED_EDITS:
+        length += 1
+    return length
+
+
+def _even_parts(length: int, parts: int) -> list[tuple[int, int]]:
+    """Start and length of the even parts that a name is cut into."""
+    cuts = [length * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def part_pairs(own: int, known: int, share: float) -> list[tuple[int, ...]]:
+    """Which two parts of a known name of this length a similar name of the length `own` may hold, and where.
+
+    Rows of own, known, i, j, start and length of both parts in the known name, and both starts in the other name. A known name is
+    cut into two parts more than it may have edits, so at least two stay unchanged. Where these two lengths allow fewer edits,
+    more parts stay: then the parts are put into groups, one fewer than parts stay, and two of them share a group.
+    """
+    count = _allowed(math.floor(known / share + EPS), share) + 2
+    edits, parts = _allowed(max(own, known), share), _even_parts(known, count)
+    groups, more = count - edits - 1, own - known
+    found = []
+    for i in range(count):
+        for j in range(i + 1, count):
+            if (j - i) % groups:
+                continue
+            (a, m), (b, n) = parts[i], parts[j]
+            # Edits before a part shift it; those between both parts and behind the second make up the other differences.
+            found += [
+                (own, known, i, j, a, m, b, n, a + s, b + t) for s in range(-edits, edits + 1) for t in range(-edits, edits + 1)
+                if abs(s) + abs(t - s) + abs(more - t) <= edits and a + s >= 0 and b + t >= a + s + m and b + t + n <= own]
+    return found
+
+
+def similar_texts(open_texts: DataFrame, known_texts: DataFrame, share: float) -> DataFrame:
+    """Pairs (`_a`, `_b`) of an open and a known text whose similarity reaches the share, each once or more.
+
+    Both tables have one column of different texts. Candidates come from equi-joins. A known text with few edits shares two of its parts
+    with every similar text, which few other texts do; the places of such parts depend on both lengths alone, so they are listed
+    once for the lengths there are. A longer text has too many places for two parts and is looked for by one.
+    """
+    spark, limit = open_texts.sparkSession, _longest_paired(share)
+    mine, theirs = open_texts.toDF("_a"), known_texts.toDF("_b")
+    mine = mine.repartition(max(1, -(-mine.count() // TASK_TEXTS))).withColumn("own", F.length("_a"))
+    theirs = theirs.repartition(max(1, -(-theirs.count() // TASK_TEXTS))).withColumn("known", F.length("_b"))
+    held = [r[0] for r in theirs.select(F.least("known", F.lit(limit + 1))).distinct().collect()]  # limit + 2 rows at most
+    patterns = [p for known in held if known <= limit
+                for own in range(math.ceil(known * share - EPS), math.floor(known / share + EPS) + 1) for p in part_pairs(own, known, share)]
+    places = spark.createDataFrame(patterns, "own int, known int, i int, j int, a int, m int, b int, n int, _c int, _d int")
+    cuts = places.select("known", "i", "j", "a", "m", "b", "n").distinct()
+
+    def key(text: str, first: str, second: str) -> Column:
+        return F.xxhash64("known", "i", "j", F.expr(f"substring({text}, {first} + 1, m)"), F.expr(f"substring({text}, {second} + 1, n)")).alias("_v")
+
+    met = mine.join(F.broadcast(places), "own").select("_a", key("_a", "_c", "_d")).join(
+        theirs.join(F.broadcast(cuts), "known").select("_b", key("_b", "a", "b")), "_v").select("_a", "_b")
+    if limit + 1 in held:
+        long = mine.filter(F.floor(F.col("own") / share + EPS) > limit).select("_a", F.explode(_possible_parts(F.col("_a"), share, limit)).alias("_v"))
+        met = met.unionByName(long.join(
+            theirs.filter(F.col("known") > limit).select("_b", F.explode(_own_parts(F.col("_b"), share)).alias("_v")), "_v").select("_a", "_b"))
+    # With a bound on the edits, unlike texts are told apart early.
+    return met.filter(F.expr(f"levenshtein(_a, _b, CAST(floor(greatest(length(_a), length(_b)) * {1.0 - share!r}D + {EPS!r}D) AS INT)) >= 0"))
+
+
 def _words(norm: Column) -> Column:
     """Words of a normalised name, sorted; a comma ends a word."""
     return F.array_sort(F.split(F.trim(F.regexp_replace(norm, r"[,\s]+", " ")), " "))
@@ -117,12 +194,13 @@ def names_in_any_order(open_names: DataFrame, name: str, by_name: DataFrame, thr
     share = threshold / 100.0 / ORDER_SHARE
     if not LEAST_THRESHOLD / 100.0 <= share <= 1.0:
         raise ValueError(f"a threshold from {LEAST_THRESHOLD * ORDER_SHARE:g} to {ORDER_SHARE * 100:g} can be met in any order")
-    parts = F.transform(_possible_parts(_joined(_words(F.col("norm"))), share), lambda k: F.concat(F.lit("p"), k))
-    own = F.transform(_own_parts(_joined(_words(F.col("norm"))), share), lambda k: F.concat(F.lit("p"), k))
-    pairs = F.transform(_word_pairs(F.col("norm")), lambda k: F.concat(F.lit("w"), k))
-    mine = open_names.select(name, "norm", F.explode(F.concat(parts, pairs)).alias("_v"))
-    theirs = by_name.select(F.col("norm").alias("_norm"), "_hit", F.explode(F.concat(own, pairs)).alias("_v"))
-    scored = mine.join(theirs, "_v").drop("_v").withColumn("_s", any_order_score(F.col("norm"), F.col("_norm"))).filter(F.col("_s") >= threshold - EPS)
+    sorted_text = _joined(_words(F.col("norm")))
+    mine = materialize(open_names.select(name, "norm", sorted_text.alias("_a"), _word_pairs(F.col("norm")).alias("_w")))
+    theirs = materialize(by_name.select(F.col("norm").alias("_norm"), "_hit", sorted_text.alias("_b"), _word_pairs(F.col("norm")).alias("_w")))
+    like = similar_texts(mine.select("_a").distinct(), theirs.select("_b").distinct(), share).distinct()
+    by_text = mine.drop("_w").join(like, "_a").join(theirs.drop("_w"), "_b").drop("_a", "_b")
+    by_words = mine.select(name, "norm", F.explode("_w").alias("_v")).join(theirs.select("_norm", "_hit", F.explode("_w").alias("_v")), "_v").drop("_v")
+    scored = by_text.unionByName(by_words).withColumn("_s", any_order_score(F.col("norm"), F.col("_norm"))).filter(F.col("_s") >= threshold - EPS)
     return scored.groupBy(name).agg(F.max_by(F.struct("_hit", "_s"), F.struct("_s", -F.col("_hit.entity_id"))).alias("_b"))
 
 
@@ -180,12 +258,9 @@ def resolve_names(
         "block"))
     open_names = blocked.filter("_hit IS NULL").select(name, "norm")
 
-    mine = open_names.select(name, "norm", F.explode(_possible_parts(F.col("norm"), share)).alias("_v"))
-    theirs = by_name.select(F.col("norm").alias("_norm"), "_hit", F.explode(_own_parts(F.col("norm"), share)).alias("_v"))
-    near = (
-        mine.join(theirs, "_v").drop("_v")
-        .withColumn("_s", similarity(F.col("norm"), F.col("_norm"))).filter(F.col("_s") >= threshold)
-    )
+    like = similar_texts(open_names.select("norm").distinct(), by_name.select("norm"), share).distinct()
+    near = open_names.join(like, F.col("norm") == F.col("_a")).join(by_name.select(F.col("norm").alias("_b"), "_hit"), "_b").withColumn(
+        "_s", similarity(F.col("norm"), F.col("_b"))).filter(F.col("_s") >= threshold)
     best = near.groupBy(name).agg(F.max_by(F.struct("_hit", "_s"), F.struct("_s", -F.col("_hit.entity_id"))).alias("_b"))
     found = materialize(open_names.join(best, name, "left"))
     answers.append(answer(
