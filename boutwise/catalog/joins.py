@@ -9,6 +9,7 @@ from boutwise.catalog.registry import query
 from boutwise.catalog.sources import NEW, OLD, versions
 from boutwise.catalog.views import r6, real, twin
 from boutwise.operators import asof, features, keyed, marketplace, resolve
+from boutwise.session import materialize
 
 
 @query("c01_changed_rows", f"""WITH o AS ({OLD}), n AS ({NEW}) SELECT n.* FROM n LEFT JOIN o ON o.o_orderkey = n.o_orderkey
@@ -59,8 +60,8 @@ mk AS (SELECT * FROM (VALUES (1, 'maker_a', 0.0, 10), (2, 'maker_b', 0.02, 20),
 od AS (SELECT match_date, tourney_id, a_id, b_id, no_ids, bookmaker, oa + shift AS oa, ob + shift AS ob, hour FROM qt, mk WHERE tourney_id % 7 <> 0 AND (i < 4 OR match_num = 1))"""
 
 
-def quotes(spark, folder):
-    q = views.scored(spark, folder).withColumn("swap", F.col("tourney_id") % 3 == 0)
+def quotes(spark, folder, scored=None):
+    q = (views.scored(spark, folder) if scored is None else scored).withColumn("swap", F.col("tourney_id") % 3 == 0)
     q = q.select(
         "match_date", "tourney_id", "match_num", (F.col("tourney_id") % 5 == 0).alias("no_ids"),
         *[F.when(F.col("swap"), F.col(y)).otherwise(F.col(x)).alias(n)
@@ -98,9 +99,10 @@ def join_pred_odds(spark, folder):
     written = F.when(old, F.concat(F.lit("Old "), "a_id")).otherwise(F.concat(F.lit("j w "), "a_id"))
     aliases = views.table(spark, folder, "supplier").filter("s_suppkey % 3 = 0").select(
         F.concat(F.lit("OLD "), "s_suppkey").alias("alias"), F.concat(n, "s_suppkey").alias("canonical"))
-    pred = views.scored(spark, folder).select(
+    scored = materialize(views.scored(spark, folder).select("match_key", "match_date", "tourney_id", "match_num", "p1_id", "p2_id", "odds_p1", "odds_p2"))
+    pred = scored.select(
         "match_key", "match_date", "p1_id", "p2_id", F.concat(n, "p1_id").alias("p1_name"), F.concat(n, "p2_id").alias("p2_name"))
-    odds = quotes(spark, folder).select(
+    odds = quotes(spark, folder, scored).select(
         "match_date", F.col("hour").alias("captured_at"), "bookmaker", F.when(~F.col("no_ids"), F.col("a_id")).alias("o1_id"),
         F.when(~F.col("no_ids"), F.col("b_id")).alias("o2_id"), written.alias("o1_name"), F.concat(n, "b_id").alias("o2_name"),
         F.col("oa").alias("odds_p1"), F.col("ob").alias("odds_p2"), F.concat(F.lit("t"), F.col("tourney_id") % 5).alias("tournament"),

@@ -40,22 +40,34 @@ def market_consensus(
     """Median price of both sides over the latest rows of each key, and how many makers quote.
 
     Rows with a price of 1 or less do not count; a key with no other row is dropped unless
-    `keep_unpriced`. `event` columns come together from the least priced row. Prices have few distinct values, so the exact median merges value counts before
-    the shuffle.
+    `keep_unpriced`. `event` columns come together from the least priced row. The median is that of the one or two middle rows of
+    each key, numbered on the shuffle by key that the latest rows need anyway; nothing is collected per key.
     """
     rows = latest_capture(odds, keys, captured)
     valid = (F.col(low) > 1) & (F.col(high) > 1)
     maker = F.trim("bookmaker")
-    named = F.when(valid & (maker != "") & ~maker.isin(PLACEHOLDER_BOOKMAKERS), maker)
     nested = F.coalesce(F.col("bookmaker_count").cast("long"), F.lit(0)) if "bookmaker_count" in odds.columns else F.lit(0)
     method = F.when(F.trim("aggregation_method") != "", F.trim("aggregation_method")) \
         if "aggregation_method" in odds.columns else F.lit(None).cast("string")
+    of_key = Window.partitionBy(*keys)
+    rows = rows.withColumns({
+        "_valid": F.coalesce(valid, F.lit(False)), "_maker": F.when(valid & (maker != "") & ~maker.isin(PLACEHOLDER_BOOKMAKERS), maker)})
+    rows = rows.withColumn("_pairs", F.count_if("_valid").over(of_key))
+    for i, price in enumerate((low, high)):
+        place = F.row_number().over(of_key.orderBy(F.when(F.col("_valid"), F.col(price)).asc_nulls_last()))
+        rows = rows.withColumn(f"_at{i}", place)
+    # Last, so that the rows of a key and maker follow each other and the sums below find them sorted by key.
+    rows = rows.withColumn("_new", F.col("_maker").isNotNull() & ~F.col("_maker").eqNullSafe(F.lag("_maker").over(of_key.orderBy("_maker"))))
+
+    def middle(price: str, at: str) -> Column:
+        mine = F.col("_valid") & F.col(at).isin(F.floor((F.col("_pairs") + 1) / 2), F.floor(F.col("_pairs") / 2) + 1)
+        return 0.5 * F.min(F.when(mine, F.col(price))) + 0.5 * F.max(F.when(mine, F.col(price)))
+
     found = rows.groupBy(*keys).agg(
-        F.percentile(F.when(valid, F.col(low)), F.lit(0.5)).alias(low),
-        F.percentile(F.when(valid, F.col(high)), F.lit(0.5)).alias(high),
-        F.count_distinct(named).alias("_named"), F.max(F.when(valid, nested)).alias("_nested"),
-        F.count_if(valid).alias("pairs"), F.min(F.when(valid, method)).alias("_method"),
-        *([F.min(F.when(valid, F.struct(*event))).alias("_event")] if event else []),
+        middle(low, "_at0").alias(low), middle(high, "_at1").alias(high),
+        F.count_if("_new").alias("_named"), F.max(F.when(F.col("_valid"), nested)).alias("_nested"),
+        F.count_if("_valid").alias("pairs"), F.min(F.when(F.col("_valid"), method)).alias("_method"),
+        *([F.min(F.when(F.col("_valid"), F.struct(*event))).alias("_event")] if event else []),
     ).select(
         *keys, low, high, *[F.col(f"_event.{c}").alias(c) for c in event or []],
         F.when(F.col("_named") > 0, F.col("_named")).otherwise(F.greatest("_nested", "pairs")).alias("bookmaker_count"),
@@ -65,15 +77,26 @@ def market_consensus(
     return found if keep_unpriced else found.filter(F.col(low).isNotNull())
 
 
-def _canonical_pair(df: DataFrame, ids: list[str], names: list[str], aliases: DataFrame | None) -> DataFrame:
-    """_id1, _id2, _name1, _name2: ids and names of both sides in their canonical form, NULL where blank."""
-    for i, (known, name) in enumerate(zip(ids, names), 1):
-        df = df.withColumn(f"_id{i}", canonical_id(F.col(known)))
-        df = df.withColumn(f"_name{i}", normalize_name(F.col(name))) if aliases is None else canonical_name(df, name, aliases, f"_name{i}")
-        df = df.withColumn(f"_name{i}", F.nullif(f"_name{i}", F.lit("")))
+def _canonical_ids(df: DataFrame, ids: list[str]) -> DataFrame:
+    """_k1, _k2: ids of both sides in canonical form, NULL where blank."""
+    return df.withColumns({f"_k{i}": canonical_id(F.col(known)) for i, known in enumerate(ids, 1)})
+
+
+def _canonical_names(df: DataFrame, names: list[str], aliases: DataFrame | None) -> DataFrame:
+    """_k1, _k2: names of both sides in canonical form, NULL where blank."""
+    for i, name in enumerate(names, 1):
+        df = df.withColumn(f"_k{i}", normalize_name(F.col(name))) if aliases is None else canonical_name(df, name, aliases, f"_k{i}")
+        df = df.withColumn(f"_k{i}", F.nullif(f"_k{i}", F.lit("")))
     return df
 
 
+def _pair(df: DataFrame) -> DataFrame:
+    """_lo, _hi: the unordered pair of `_k1` and `_k2`, NULL where one is missing; _first: whether the first side is the lower one."""
+    both = F.col("_k1").isNotNull() & F.col("_k2").isNotNull()
+    return df.withColumns({
+        "_lo": F.when(both, F.least("_k1", "_k2")), "_hi": F.when(both, F.greatest("_k1", "_k2")), "_first": F.col("_k1") <= F.col("_k2")}).drop("_k1", "_k2")
+
+
 def join_predictions(
     pred: DataFrame, odds: DataFrame, captured: str = "captured_at", min_bookmakers: int = 1, aliases: DataFrame | None = None,
 ) -> DataFrame:
@@ -81,35 +104,28 @@ def join_predictions(
 
     The pair is unordered. Ids decide where both sides have them, names where the ids find nothing; both are compared in
     canonical form, names after `aliases(alias, canonical)` where given. tournament and surface, where the odds have them,
-    are those of the least priced row. A row of odds gets both its keys at once, so odds are read, trimmed to the latest capture
-    and collapsed once; the stored prices, one row per date and key, then meet the predictions twice.
+    are those of the least priced row. Predictions meet the prices by id first. Only those that are left meet prices by name, and
+    only odds of their dates and names are collapsed for them.
     """
     event = [c for c in ("tournament", "surface") if c in odds.columns]
-    rows = _canonical_pair(odds, ["o1_id", "o2_id"], ["o1_name", "o2_name"], aliases)
-
-    def key(kind: str, a: str, b: str) -> Column:
-        first = F.col(a) <= F.col(b)
-        return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(
-            F.lit(kind).alias("kind"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"),
-            F.when(first, F.col("odds_p1")).otherwise(F.col("odds_p2")).alias("odds_lo"),
-            F.when(first, F.col("odds_p2")).otherwise(F.col("odds_p1")).alias("odds_hi")))
-
     used = [c for c in (captured, "bookmaker", "bookmaker_count", "aggregation_method", *event) if c in odds.columns]
-    rows = rows.select("match_date", *used, F.explode(F.array_compact(F.array(key("id", "_id1", "_id2"), key("name", "_name1", "_name2")))).alias("_k"))
-    rows = rows.select("match_date", *used, "_k.*")
-    prices = materialize(market_consensus(rows, ["match_date", "kind", "lo", "hi"], captured, "odds_lo", "odds_hi", True, event))
-
-    out = _canonical_pair(pred, ["p1_id", "p2_id"], ["p1_name", "p2_name"], aliases)
-    packed = F.struct("odds_lo", "odds_hi", "bookmaker_count", "aggregation_method", *event)
-    for kind in ("id", "name"):
-        mine = prices.filter(F.col("kind") == kind).select(
-            F.col("match_date").alias("_day"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), packed.alias(f"_{kind}_price"))
-        a, b = f"_{kind}1", f"_{kind}2"
-        out = out.join(mine, (F.col("match_date") == F.col("_day")) & (F.least(a, b) == F.col("_lo")) & (F.greatest(a, b) == F.col("_hi"))
-                       & F.col(a).isNotNull() & F.col(b).isNotNull(), "left").drop("_day", "_lo", "_hi")
-    by_id = F.col("_id_price").isNotNull()
-    first = F.when(by_id, F.col("_id1") <= F.col("_id2")).otherwise(F.col("_name1") <= F.col("_name2"))
-    out = out.withColumns({"_price": F.coalesce("_id_price", "_name_price"), "_first": first})
+    day = F.col("match_date").alias("_day")
+
+    def priced(mine: DataFrame, quoted: DataFrame) -> DataFrame:
+        rows = quoted.filter("_lo IS NOT NULL").select(
+            day, *used, "_lo", "_hi", F.when(F.col("_first"), F.col("odds_p1")).otherwise(F.col("odds_p2")).alias("odds_lo"),
+            F.when(F.col("_first"), F.col("odds_p2")).otherwise(F.col("odds_p1")).alias("odds_hi"))
+        prices = market_consensus(rows, ["_day", "_lo", "_hi"], captured, "odds_lo", "odds_hi", True, event).select(
+            "_day", "_lo", "_hi", F.struct("odds_lo", "odds_hi", "bookmaker_count", "aggregation_method", *event).alias("_price"))
+        return mine.withColumn("_day", day).join(prices, ["_day", "_lo", "_hi"], "left").drop("_day", "_lo", "_hi")
+
+    out = materialize(priced(_pair(_canonical_ids(pred, ["p1_id", "p2_id"])), _pair(_canonical_ids(odds, ["o1_id", "o2_id"]))))
+    still = out.filter("_price IS NULL")
+    if not still.isEmpty():
+        still = _pair(_canonical_names(still.select(*pred.columns), ["p1_name", "p2_name"], aliases))
+        asked = still.filter("_lo IS NOT NULL").select("match_date", "_lo", "_hi").distinct()
+        quoted = _pair(_canonical_names(odds, ["o1_name", "o2_name"], aliases)).join(asked, ["match_date", "_lo", "_hi"], "left_semi")
+        out = out.filter("_price IS NOT NULL").unionByName(priced(still, quoted))
     return out.filter(F.col("_price.odds_lo").isNotNull() & (F.col("_price.bookmaker_count") >= min_bookmakers)).select(
         *[c for c in pred.columns if c not in event], *[F.col(f"_price.{c}").alias(c) for c in event],
         F.when(F.col("_first"), F.col("_price.odds_lo")).otherwise(F.col("_price.odds_hi")).alias("odds_p1"),
