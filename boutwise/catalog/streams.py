@@ -11,7 +11,7 @@ from boutwise.catalog.registry import query
 from boutwise.catalog.views import r6, twin
 from boutwise.catalog.windows import rounded
 from boutwise.operators import marketplace
-from boutwise.session import shared_folder
+from boutwise.session import materialize, shared_folder
 from boutwise.streaming import odds as streams
 
 
@@ -68,12 +68,14 @@ def stream_odds_movement(spark, folder):
     rows = snapshots(spark, folder).withColumns({
         "batch": F.expr(BATCH), "name_1": F.concat(F.lit("P"), F.col("match_id") % 5), "name_2": F.concat(F.lit("Q"), F.col("match_id") % 3), "match_id": F.expr(ID)})
     rows = rows.withColumnRenamed("event_type", "tour")
-    for k in range(10):
-        rows.filter(F.col("batch") == k).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    parts = materialize(rows, ["batch"])  # read once; a batch is one folder
     key = marketplace.movement_key(F.col("match_id"), F.col("match_date"), F.col("tour"), F.col("name_1"), F.col("name_2"))
-    streams.stream_odds_movement(
-        file_stream(spark, f"{base}/source", rows.schema, 1), f"{base}/table", f"{base}/checkpoint", key, compact_every=4).trigger(
-        availableNow=True).start().awaitTermination()
+    for k in range(10):
+        # All files of a batch are one micro-batch, however many tasks have written them.
+        parts.filter(F.col("batch") == k).write.mode("append").parquet(f"{base}/source")
+        streams.stream_odds_movement(
+            file_stream(spark, f"{base}/source", rows.schema, 1_000_000), f"{base}/table", f"{base}/checkpoint", key, compact_every=4).trigger(
+            availableNow=True).start().awaitTermination()
     found = streams.read_movements(spark, f"{base}/table").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("captured_at", "prev_captured_at")})
     names = ["hours_since_previous", "odds_p1_delta", "odds_p2_delta", "odds_p1_pct", "odds_p2_pct"]
     return rounded(found, *names).select("snapshot_id", "match_id", "captured_at", "prev_captured_at", *names, "market_move")

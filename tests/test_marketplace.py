@@ -60,3 +60,23 @@ def test_exponent_is_that_of_plain_halving(spark):
 
     got = spark.createDataFrame(rows, "a double, b double").select("a", "b", power_exponent(F.col("a"), F.col("b")).alias("k")).collect()
     assert all(math.isclose(r["k"], plain(r["a"], r["b"]), rel_tol=1e-9) for r in got)
+
+
+def test_a_batch_of_many_files_is_one_micro_batch(spark, tmp_path, monkeypatch):
+    from boutwise.catalog import streams
+    from boutwise.streaming import odds
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    seen, merge = [], odds.movement_batch
+
+    def spy(batch, batch_id, *args, **options):
+        seen.append((batch_id, {r[0] for r in batch.select("batch").distinct().collect()}, batch.select(F.input_file_name()).distinct().count()))
+        merge(batch, batch_id, *args, **options)
+
+    monkeypatch.setattr(odds, "movement_batch", spy)
+    found = streams.stream_odds_movement(spark, str(tmp_path))
+    # A batch without rows is none.
+    assert [values for _, values, _ in seen if values] == [{0}, {9}]  # the others have no rows there
+    assert max(files for *_, files in seen) > 1
+    whole = streams.stream_odds_movement(spark, "/root/testdata/sf0.001")
+    assert found.exceptAll(whole).isEmpty() and found.count() == whole.count()
