@@ -45,3 +45,14 @@ def test_names_of_one_surname_and_beginning_meet_few(spark):
     names = spark.range(1000).select(F.concat(F.lit("maria "), F.lpad(F.conv(F.xxhash64("id"), 10, 16), 10, "0")).alias("t"))
     plan = resolve.similar_texts(names, names.toDF("u"), 0.85)
     assert plan.distinct().count() == 1000
+
+
+def test_folds_store_a_row_once(spark, monkeypatch):
+    from boutwise.operators import learning
+
+    stored, write = [], learning.materialize
+    monkeypatch.setattr(learning, "materialize", lambda df, *by: stored.append(df.count()) or write(df, *by))
+    df = spark.range(200).selectExpr("id AS d", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 3 = 0 AS INT) AS y")
+    out = learning.temporal_cv(df, ["x"], "y", ["d"], {"logreg": {"kind": "logreg"}}, folds=3, min_train=60, min_test=20)
+    assert stored[0] <= 200  # every fold brought its own rows, 420 in all
+    assert {(r["fold"], r["n"]) for r in out.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {(1, 28), (2, 28), (3, 28)}
