@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boutwise.operators.keyed import small
+from boutwise.operators.keyed import dealt, small
+
+# Line items that a task should pair at most, however many tasks that takes; orders stay whole.
+LINE_ROWS = 500_000
 
 # ---------------------------------------------------------------------------------------------
 # SQL text
@@ -224,8 +227,9 @@ def bouts(spark: SparkSession, folder: str, hosts: DataFrame | None = None) -> D
         F.col("l_suppkey").alias("id"), F.col("l_quantity").alias("qty"),
         F.nullif("l_discount", F.lit(0.0)).alias("disc"), F.col("l_tax").alias("tax"),
         F.col("l_extendedprice").alias("price"))
+    items = table(spark, folder, "lineitem")
     pairs = (
-        table(spark, folder, "lineitem")
+        dealt(items, ["l_orderkey"], items.count(), LINE_ROWS)
         .select("l_orderkey", "l_returnflag", side.alias("a"), F.lead(side).over(line).alias("b"),
                 F.row_number().over(line).alias("rn"))
         .filter((F.col("rn") % 2 == 1) & F.col("b").isNotNull() & (F.col("a.id") != F.col("b.id")))

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutwise.operators.keyed import dealt
 from boutwise.session import materialize
 
 SEGMENT_ROWS = 2_000_000
@@ -119,17 +120,11 @@ class History:
         if hottest is None:
             hottest, rows = load(df, self.entity)
         self.hottest, self.segmented = hottest, hottest > segment_rows
-        self.df = self._cut(df, segment_rows) if self.segmented else self._deal(df, rows, task_rows)
+        self.df = self._cut(df, segment_rows) if self.segmented else dealt(df, self.entity, rows, task_rows)
         self.by = [*self.entity, SEGMENT] if self.segmented else self.entity
         # Days as numbers: range frames reach back by days, and share this sort order.
         self.window = Window.partitionBy(*self.by).orderBy(F.unix_date(self.day), *self.order)
 
-    def _deal(self, df: DataFrame, rows: int, task_rows: int) -> DataFrame:
-        """Entities dealt over so many tasks that the sorts of one hold a bounded number of rows as the table grows."""
-        if rows <= task_rows:
-            return df
-        return df.repartition(max(-(-rows // task_rows), df.sparkSession.sparkContext.defaultParallelism), *self.entity)
-
     def _cut(self, df: DataFrame, segment_rows: int) -> DataFrame:
         earlier = Window.partitionBy(*self.entity).orderBy(self.day).rowsBetween(*BEFORE)
         later_days = (

@@ -21,6 +21,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, task_rows: int) -> DataFrame:
+    """Keys dealt over so many tasks that the sorts of one hold a bounded number of rows as the table grows."""
+    if rows <= task_rows:
+        return df
+    return df.repartition(max(-(-rows // task_rows), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Generated columns: worked out once a row, and not again in every filter and column that uses them."""
     names = ["*", *[F.col(f"_once.{name}").alias(name) for name in columns]]

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from boutwise.catalog import views
 from boutwise.operators.history import (
     History, PrefixFirst, PrefixLast, PrefixMax, PrefixSum, Rolling, SinceDays,
 )
@@ -95,6 +96,16 @@ def test_rows_of_a_task_are_bounded(spark):
     assert few.exceptAll(plain).count() == 0 and few.count() == 6000
 
 
+def test_line_items_of_a_task_are_bounded(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    plain = views.bouts(spark, folder)
+    monkeypatch.setattr(views, "LINE_ROWS", 300, raising=False)
+    few = views.bouts(spark, folder)
+    total = plain.count()
+    assert few.groupBy(F.spark_partition_id().alias("t")).count().agg(F.max("count")).first()[0] < total / 8
+    assert few.exceptAll(plain).count() == 0 and few.count() == total
+
+
 def test_a_history_tells_its_busiest_entity(spark):
     df = spark.createDataFrame([(1, "2000-01-01", 1), (1, "2000-01-02", 2), (2, "2000-01-01", 3)], "p int, d string, o int")
     assert History(df.withColumn("d", F.to_date("d")), ["p"], "d", ["o"]).hottest == 2
