@@ -253,3 +253,15 @@ def test_pages_are_read_without_a_shuffle(spark):
     rows = spark.createDataFrame([("a", "x\n| [A](/p) | 2 | 6 | 6 |\n| [B](/p) | 0 | 1 | 2 |"), ("a", "[row]\n[cell] 1")], "page string, text string").repartition(2)
     plan = pages.page_records(rows, "page", "text", F.lit(32))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_pages_of_both_forms_are_read_once(spark):
+    """One walk in plain code; array expressions took a scan of the pages for each form and evaluated every line several times."""
+    rows = spark.createDataFrame([
+        ("a", "1. round\n| [A](/p) | 2 | 6 | 6 |\r\n| [B](/p) (4) | 0 | 1 | 2 |\r\n", None), ("b", "x\r\n[row] 02.03. 14:05 2R A (1) 2 6 7 5\r\n[row] B 0 3 6", 64), (None, "[row]", 8)],
+        "page string, text string, draw int")
+    out = pages.page_records(rows, "page", "text", F.col("draw"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "lambda" not in plan and plan.count("MapInArrow") == 1
+    assert sorted(map(tuple, out.collect())) == [
+        ("a", 1, "R128", "6-1 6-2", "A", "B", "", "4"), ("b", 1, "R32", "6-3 7-6(5)", "A", "B", "1", "")]
